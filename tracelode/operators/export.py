@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .budget import edge_tokens, node_tokens, split_budget, take_fitting
+from .components import checkpointed
 from .graph import SUMMARY_TYPES, PropertyGraph, export_rank
 from .traverse import cycles
 
@@ -143,12 +144,19 @@ def bundle(graph: PropertyGraph, project: dict[str, Any], query: dict[str, Any])
     }
 
 
+def _written(graph: PropertyGraph) -> PropertyGraph:
+    return PropertyGraph(checkpointed(graph.nodes), checkpointed(graph.edges))
+
+
 def ai_bundle(graph: PropertyGraph, project: dict[str, Any], query: dict[str, Any], most_tokens: int = 8000, most_nodes: int | None = None) -> dict[str, Any]:
-    """The bundle of what fits the budget, with a summary and a ranking of what it was chosen from."""
-    chosen = ai_result(graph, most_nodes)
+    """The bundle of what fits the budget, with a summary and a ranking of what it was chosen from.
+
+    The chosen graph and the pruned one are written once, as every part of the document reads them.
+    """
+    chosen = _written(ai_result(graph, most_nodes))
     entries = chosen.entry_points().select(canonical_name(F.lit(None).cast("string"), F.col("full_name"), F.col("name")).alias("n")).orderBy("n")
     ring = chosen.edges_of("IMPORTS", "DEPENDS_ON", "EXTENDS", "IMPLEMENTS").where("resolved")
-    out = bundle(pruned(chosen, most_tokens), project, query)
+    out = bundle(_written(pruned(chosen, most_tokens)), project, query)
     out["summary"] = {
         "entryPoints": [r["n"] for r in _rows(entries)],
         "coreModules": [r["full_name"] or r["name"] for r in _rows(core_modules(chosen))],

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import labels, paths
 from .registry import Data, query
 
-DIRS = "list_filter(string_split(regexp_replace(substr(path, 7), '/?[^/]*$', ''), '/'), p -> p <> '' AND p <> '.')"
+DIRS = "list_filter(string_split(regexp_replace(substr(path, 7), '/?[^/]*$', ''), '/'), lambda p: p <> '' AND p <> '.')"
 STEM = "regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]*$', '\\1')"
-UP = "x -> upper(substr(x, 1, 1)) || substr(x, 2)"
+UP = "lambda x: upper(substr(x, 1, 1)) || substr(x, 2)"
 
 
 def _contains(column: str, table: list[tuple[str, str]], otherwise: str) -> str:
@@ -179,7 +179,7 @@ def scalar_null(d: Data) -> DataFrame:
     return d.graph.nodes.select("id", F.coalesce(F.nullif("summary", F.lit("")), "name").alias("truthy"), F.coalesce(F.when(F.col("type") == "class", F.col("summary")), F.lit("none")).alias("present"))
 
 
-@query("scalar_array", "SELECT key, array_to_string(list_transform(parts, x -> upper(x)), '-') AS mapped, len(list_filter(parts, x -> length(x) > 4)) AS kept, len(list_filter(parts, x -> x = 'api')) > 0 AS some, CAST(list_sum(list_transform(parts, x -> length(x))) AS BIGINT) AS total, len(list_distinct(parts)) AS different FROM (SELECT key, string_split(path, '/') AS parts FROM labelled)")
+@query("scalar_array", "SELECT key, array_to_string(list_transform(parts, lambda x: upper(x)), '-') AS mapped, len(list_filter(parts, lambda x: length(x) > 4)) AS kept, len(list_filter(parts, lambda x: x = 'api')) > 0 AS some, CAST(list_sum(list_transform(parts, lambda x: length(x))) AS BIGINT) AS total, len(list_distinct(parts)) AS different FROM (SELECT key, string_split(path, '/') AS parts FROM labelled)")
 def scalar_array(d: Data) -> DataFrame:
     p = F.split("path", "/")
     return d.bound("labelled").select(
@@ -194,10 +194,10 @@ def scalar_array(d: Data) -> DataFrame:
 
 @query("scalar_map", "SELECT key, 'name=' || name || ',type=' || type AS entries FROM labelled")
 def scalar_map(d: Data) -> DataFrame:
-    made = F.map_from_entries(F.array(F.struct(F.lit("type"), F.col("type")), F.struct(F.lit("name"), F.col("name"))))
+    made = F.map_from_entries(F.array(F.struct(F.lit("type").alias("key"), F.col("type").alias("value")), F.struct(F.lit("name").alias("key"), F.col("name").alias("value"))))
     return d.bound("labelled").select("key", F.array_join(F.transform(F.array_sort(F.map_entries(made)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("entries"))
 
 
-@query("scalar_epoch_ms", "SELECT event_id, epoch_ms(ts) AS ms FROM events")
+@query("scalar_epoch_ms", "SELECT event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM events")
 def scalar_epoch_ms(d: Data) -> DataFrame:
     return d.table("events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))

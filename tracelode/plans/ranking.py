@@ -14,10 +14,11 @@ from ..operators.traverse import ranked
 from .registry import Data, query
 from .relations import DEGREES
 
-IMPORTANCE = """(SELECT n.id, n.type, n.name, n.full_name, least(1.0, floor((((coalesce(i, 0) * 1.5 + coalesce(o, 0)) / greatest(1.0::DOUBLE, (SELECT count(*) FROM nodes) * 0.1::DOUBLE)
-    + (CASE WHEN n.type IN ('project', 'file', 'class', 'function', 'method', 'route') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN e.id IS NOT NULL THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END)) * 10000.0::DOUBLE + 0.5::DOUBLE)) / 10000.0::DOUBLE) AS importance
+_RAW = "(coalesce(i, 0) * 1.5::DOUBLE + coalesce(o, 0)) / greatest(1.0::DOUBLE, (SELECT count(*) FROM nodes) * 0.1::DOUBLE)"
+_BONUS = "(CASE WHEN n.type IN ('project', 'file', 'class', 'function', 'method', 'route') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN e.id IS NOT NULL THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END)"
+IMPORTANCE = f"""(SELECT n.id, n.type, n.name, n.full_name, least(1.0::DOUBLE, floor(({_RAW} + {_BONUS}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE) AS importance
     FROM nodes n LEFT JOIN (SELECT to_id, CAST(count(*) AS DOUBLE) AS i FROM edges GROUP BY 1) a ON n.id = a.to_id LEFT JOIN (SELECT from_id, CAST(count(*) AS DOUBLE) AS o FROM edges GROUP BY 1) b ON n.id = b.from_id
-    LEFT JOIN (SELECT DISTINCT to_id AS id FROM edges WHERE type = 'ENTRY_POINT') e ON e.id = n.id)""".replace("floor((((", "floor(((").replace("* 1.5 +", "* 1.5::DOUBLE +")
+    LEFT JOIN (SELECT DISTINCT to_id AS id FROM edges WHERE type = 'ENTRY_POINT') e ON e.id = n.id)"""
 CENTRALITY = f"(SELECT id, degree, floor(degree::DOUBLE / (SELECT greatest(1, max(degree)) FROM {DEGREES})::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS centrality FROM {DEGREES})"
 SERVER = f"(SELECT n.id, n.type, n.name, floor((in_degree * 1.4::DOUBLE + out_degree + CASE WHEN type = 'project' THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) / (SELECT greatest(1.0::DOUBLE, max(degree) * 1.4::DOUBLE) FROM {DEGREES}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS importance FROM nodes n JOIN {DEGREES} g ON n.id = g.id)"
 ORDER = "CASE type WHEN 'file' THEN 1 WHEN 'class' THEN 2 WHEN 'function' THEN 3 WHEN 'method' THEN 4 WHEN 'route' THEN 5 WHEN 'interface' THEN 6 WHEN 'type' THEN 7 WHEN 'constant' THEN 8 WHEN 'variable' THEN 9 WHEN 'config' THEN 10 ELSE 100 END"
