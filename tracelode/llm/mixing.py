@@ -143,11 +143,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document taken whole keeps its text; one taken in part keeps those words and the white space before
     them; what is taken twice stands twice. One of which nothing is taken goes.
     """
+    docs = docs.select("doc_id", "text", "lang", "source")
     places, pieces = mix(docs)
     spans = pieces.groupBy("source_rank", "start", "first_word", "n_words").agg(F.count("*").alias("times"))
     spans = spans.groupBy("source_rank", "start").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words", "times"))).alias("spans"), F.sum(F.col("n_words") * F.col("times")).alias("taken"), F.min("times").alias("low"), F.max("times").alias("high"), F.sum("n_words").alias("covered"))
-    near = (places["source_rank"] == spans["source_rank"]) & (places["start"] == spans["start"]) & (places["size"] > 0)
-    chosen = places.join(spans, near).select(F.col("doc_id").alias("id"), "tie", "size", places["start"], "spans", "covered", "low", "high")
+    spans = spans.withColumnsRenamed({"source_rank": "rank_", "start": "start_"})
+    near = (F.col("source_rank") == F.col("rank_")) & (F.col("start") == F.col("start_")) & (F.col("size") > 0)
+    chosen = places.join(spans, near).select(F.col("doc_id").alias("id"), "tie", "size", "start", "spans", "covered", "low", "high")
     first = F.row_number().over(Window.partitionBy("id", "tie").orderBy("start"))
     chosen = chosen.withColumn("first", first).where("first = 1")
     rows = docs.withColumn("tie", F.xxhash64("doc_id", "text")).join(chosen, ["tie"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
@@ -158,4 +160,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("words", F.when(~whole, words))
     pieces_text = F.concat(F.array_join(F.transform("spans", lambda x: part(x, 1)), ""), F.when(F.col("high") == 2, F.lit("\n")).otherwise(""), F.array_join(F.transform("spans", lambda x: part(x, 2)), ""))
     text = F.when(whole, F.concat("text", again)).otherwise(pieces_text)
-    return rows.select("doc_id", text.alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    out = rows.select("doc_id", text.alias("text"), "lang", "source")
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
