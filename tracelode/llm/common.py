@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,16 +41,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, its lineage cut; smaller on disk than a checkpoint of wide rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two 64-bit hashes that name a row by its values; equal rows share it, nulls take part."""
     values = [F.col(c) for c in columns]
     return [F.xxhash64(*values).alias("key_a"), F.xxhash64(F.lit("b"), *values, F.lit("b")).alias("key_b")]
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The named columns' values, row by row, with one batch in memory at a time."""
+def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256) -> Iterator[tuple]:
+    """The named columns' values, row by row; ``at_once`` rows of one batch are Python values at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+        for start in range(0, batch.num_rows, at_once):
+            some = batch.slice(start, at_once)
+            yield from zip(*(some.column(some.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
 def arrow_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, weight=None, most_weight: int = 1 << 24) -> Iterator[pa.RecordBatch]:

@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_rows, checkpointed, row_key
+from .common import arrow_batches, arrow_rows, checkpointed, row_key, stored
 
 #: Windows whose anchors are found at a time.
 SEGMENT = 1 << 15
 #: Bytes of the pieces in one collection, about; more only where one hash has more.
-COLLECTION = 1 << 18
+COLLECTION = 1 << 16
 #: Bytes of a transform's file held in memory before it goes to disk.
 SPOOL = 8 << 20
 _LOW = np.uint64(0xFFFF)
@@ -37,10 +37,11 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     while n < k:
         factor = np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64) | 1)
         h = h[:-n] * factor + h[n:]
-        h ^= h >> np.uint64(29)
         n *= 2
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(31))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -233,6 +234,34 @@ def _scan(width: int, k: int):
     return run
 
 
+def _scan_hashes(width: int, k: int):
+    """The anchors' hashes alone, to count them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (text,) in arrow_rows(batches, "text"):
+            data = (text or "").encode()
+            for h, *_ in anchors(data, width, k) if len(data) >= width else ():
+                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+
+    return run
+
+
+def _cores(width: int, block: int):
+    """What all windows of each block of a piece have in common, as a hash, and the block's windows."""
+    schema = pa.schema([("core", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32()), ("stop", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for h, a, b, lead, piece in arrow_rows(batches, "h", "a", "b", "lead", "piece"):
+                for first, q, part, core in split_piece(piece, lead, width, block):
+                    key = xxhash.xxh64_intdigest(core, (h * 257 + q) & (2**64 - 1))
+                    yield key - (1 << 64) if key >= 1 << 63 else key, h, a, b, first, first + len(part) - width + 1
+
+        yield from arrow_batches(rows(), schema, 16384)
+
+    return run
+
+
 def _cut(width: int):
     """The bytes of the pieces asked for."""
 
@@ -281,19 +310,21 @@ def _collections(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
-            for (a, b, _), marks in zip(held, repeated_starts([x[2] for x in held], width), strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))).tolist()
+            for (a, b, shift, _), marks in zip(held, repeated_starts([x[3] for x in held], width), strict=True):
+                edges = (np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))) + shift).tolist()
                 for s, e in zip(edges[0::2], edges[1::2], strict=True):
                     yield a, b, s, e
 
         def rows():
             held, load, last = [], 0, None
-            for h, a, b, piece in arrow_rows(batches, "h", "a", "b", "piece"):
-                if h != last and load >= COLLECTION:
+            for h, a, b, shift, piece in arrow_rows(batches, "h", "a", "b", "shift", "piece"):
+                if (h, a, b) == last:  # fetched from equal rows
+                    continue
+                if last is not None and h != last[0] and load >= COLLECTION:
                     yield from flush(held)
                     held, load = [], 0
-                last = h
-                held.append((a, b, piece))
+                last = (h, a, b)
+                held.append((a, b, shift, piece))
                 load += len(piece)
             if held:
                 yield from flush(held)
@@ -329,22 +360,42 @@ def _remove(width: int):
     return run
 
 
+def _promising(pieces: DataFrame, width: int, block: int) -> DataFrame:
+    """``pieces`` cut down to the blocks that may have a window in common with another piece, with their number under each hash.
+
+    Two pieces with a common window have that block's core in common. A piece none of whose cores another has can't repeat
+    anything and goes; the others keep the windows from their first such block to their last (``shift`` were before).
+    """
+    cores = pieces.mapInArrow(_cores(width, block), "core long, h long, a long, b long, first int, stop int")
+    which = F.struct("a", "b")
+    shared = cores.groupBy("core").agg(F.min(which).alias("low"), F.max(which).alias("high")).where("low <> high").select("core")
+    kept = cores.join(shared, "core", "left_semi").groupBy("h", "a", "b").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
+    kept = checkpointed(kept)
+    kept = kept.join(kept.groupBy("h").agg(F.count("*").alias("pieces")), "h")
+    piece = F.col("piece").substr(F.col("first") + 1, F.col("stop") - F.col("first") + width - 1)
+    return pieces.join(kept, ["h", "a", "b"]).select("h", "a", "b", (F.col("lead") - F.col("first")).cast("short").alias("lead"), "copies", piece.alias("piece"), F.col("first").alias("shift"), "pieces")
+
+
 def _solve(pieces: DataFrame, width: int, most_pieces: int, blocks: tuple[int, ...]) -> DataFrame:
-    """(a, b, s, e): runs of windows of the different ``pieces`` (columns PIECES) that stand elsewhere too."""
-    counted = pieces.join(pieces.groupBy("h").agg(F.count("*").alias("pieces")), "h")
-    few = counted.where((F.col("pieces") > 1) & (F.col("pieces") <= most_pieces)).select("h", "a", "b", "piece")
+    """(a, b, s, e): runs of windows of the different ``pieces`` (PIECES, shift, pieces) that stand in others too."""
+    few = pieces.where((F.col("pieces") > 1) & (F.col("pieces") <= most_pieces)).select("h", "a", "b", "shift", "piece")
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = few.repartition(parts, "h").sortWithinPartitions("h", "a", "b").mapInArrow(_collections(width), "a long, b long, s int, e int")
-    many = counted.where(F.col("pieces") > most_pieces)
+    many = pieces.where(F.col("pieces") > most_pieces)
     if not blocks or many.isEmpty():
         return found
-    split = many.select("h", "a", "b", "lead", "copies", "piece").mapInArrow(_split(width, blocks[0]), PARTS_SQL)
-    different = checkpointed(split.groupBy("h", "a", "b").agg(F.first("lead").alias("lead"), F.sum("copies").alias("copies"), F.first("piece").alias("piece")))
+    split = many.dropDuplicates(["h", "a", "b"]).select("h", "a", "b", "lead", "copies", "piece").mapInArrow(_split(width, blocks[0]), PARTS_SQL)
+    split = checkpointed(split)
+    different = split.groupBy("h", "a", "b").agg(F.first("lead").alias("lead"), F.sum("copies").alias("copies"), F.first("piece").alias("piece"))
+    different = checkpointed(different)
     windows = F.octet_length("piece") - width + 1
     copied = different.where("copies > 1").select("a", "b", F.lit(0).alias("s"), windows.cast("int").alias("e"))
-    inner = copied.unionByName(_solve(different, width, most_pieces, blocks[1:])).distinct()
-    whole = split.select("a", "b", "of_a", "of_b", "shift").join(inner, ["a", "b"])
-    return found.unionByName(whole.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), (F.col("s") + F.col("shift")).alias("s"), (F.col("e") + F.col("shift")).alias("e")))
+    counted = different.join(different.groupBy("h").agg(F.count("*").alias("pieces")), "h").withColumn("shift", F.lit(0))
+    inner = copied.unionByName(_solve(counted, width, most_pieces, blocks[1:])).distinct()
+    outer = many.select("a", "b", F.col("shift").alias("outer")).distinct()
+    whole = split.select("a", "b", "of_a", "of_b", "shift").join(inner, ["a", "b"]).join(outer.select(F.col("a").alias("of_a"), F.col("b").alias("of_b"), "outer"), ["of_a", "of_b"])
+    at = F.col("shift") + F.col("outer")
+    return found.unionByName(whole.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), (F.col("s") + at).alias("s"), (F.col("e") + at).alias("e")))
 
 
 def suffix_dedup(docs: DataFrame, width: int = 200, k: int = 32, most_pieces: int = 512) -> DataFrame:
@@ -358,21 +409,23 @@ def suffix_dedup(docs: DataFrame, width: int = 200, k: int = 32, most_pieces: in
 
     A hash with more than ``most_pieces`` different pieces is split by what blocks of 16 windows have in common, and
     then by single windows, which are equal or under different hashes; so no collection grows with a group of
-    copies or with the texts around a frequent passage. Only digests are shuffled for all runs of windows; bytes
+    copies or with the texts around a frequent passage. Pieces that have no core in common with another are left out. Only digests are shuffled for all runs of windows; bytes
     are fetched for one of each different piece that shares its hash with others.
     """
     if width > 254 or k >= width or k & (k - 1):
         raise ValueError("width is at most 254, and k a power of two below it")
     keyed = docs.select(*row_key("doc_id", "text"), "doc_id", "text")
     marks = keyed.select("key_a", "key_b", "text").mapInArrow(_scan(width, k), MARKS_SQL)
-    shared = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = checkpointed(marks.join(shared, "h", "left_semi"))
+    hashes = docs.select("text").mapInArrow(_scan_hashes(width, k), "h long")
+    shared = hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    places = stored(marks.join(shared, "h", "left_semi"))
     different = places.groupBy("h", "a", "b").agg(F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b", "at", "n", "lead")).alias("one"))
     copied = different.where("copies > 1").select("a", "b", F.lit(0).alias("s"), F.col("one.n").cast("int").alias("e"))
     asked = different.join(different.groupBy("h").agg(F.count("*").alias("pieces")).where("pieces > 1"), "h").select("one.*", "h", "a", "b", "copies")
     asked = asked.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "a", "b", "at", "n", "lead", "copies")).alias("asked"))
-    pieces = checkpointed(keyed.select("key_a", "key_b", "text").join(asked, ["key_a", "key_b"]).select("text", "asked").mapInArrow(_cut(width), PIECES_SQL).dropDuplicates(["h", "a", "b"]))
-    runs = copied.unionByName(_solve(pieces, width, most_pieces, (16, 1)))
+    pieces = stored(keyed.select("key_a", "key_b", "text").join(asked, ["key_a", "key_b"]).select("text", "asked").mapInArrow(_cut(width), PIECES_SQL))
+    likely = _promising(pieces, width, max(1, (width - k + 4) // 4))
+    runs = copied.unionByName(_solve(likely, width, most_pieces, (16, 1)))
     spans = places.select("key_a", "key_b", "at", "a", "b").join(runs, ["a", "b"])
     spans = spans.select("key_a", "key_b", F.struct((F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e") + width - 1).alias("e")).alias("span"))
     spans = spans.groupBy("key_a", "key_b").agg(F.collect_set("span").alias("spans"))
