@@ -57,8 +57,11 @@ def ai_nodes(graph: PropertyGraph, most: int | None = None) -> DataFrame:
 
 
 def ai_result(graph: PropertyGraph, most: int | None = None) -> PropertyGraph:
-    """What an assistant's bundle is made of: the chosen nodes, edges among them, and entry points to them."""
-    nodes = ai_nodes(graph, most)
+    """What an assistant's bundle is made of: the chosen nodes, edges among them, and entry points to them.
+
+    The chosen nodes are written once: both ends of every edge are looked up in them.
+    """
+    nodes = checkpointed(ai_nodes(graph, most))
     return PropertyGraph(nodes.select(*graph.nodes.columns), graph.induced(nodes, keep_entry_points=True))
 
 

@@ -57,9 +57,9 @@ def project_overview(d: Data) -> DataFrame:
     return _parts(traverse.overview(d.graph, traverse.overview_seeds(d.graph), 133))
 
 
-PATHS = """WITH RECURSIVE w AS (SELECT 'n0' AS at, ['n0'] AS path, CAST([] AS VARCHAR[]) AS by, 0 AS n UNION ALL
-      SELECT e.to_id, list_append(w.path, e.to_id), list_append(w.by, e.id), w.n + 1 FROM w JOIN trade e ON e.from_id = w.at WHERE w.n < 4 AND NOT list_contains(w.path, e.to_id)),
-    best AS (SELECT path, by, n FROM w WHERE at = '{0}' ORDER BY n, by LIMIT 1)"""
+PATHS = """WITH RECURSIVE w AS (SELECT 'n0' AS at, ['n0'] AS path, CAST([] AS VARCHAR[]) AS via, 0 AS n UNION ALL
+      SELECT e.to_id, list_append(w.path, e.to_id), list_append(w.via, e.id), w.n + 1 FROM w JOIN trade e ON e.from_id = w.at WHERE w.n < 4 AND NOT list_contains(w.path, e.to_id)),
+    best AS (SELECT path, via, n FROM w WHERE at = '{0}' ORDER BY n, via LIMIT 1)"""
 
 
 @query("find_path", PATHS.format("n7") + " SELECT CAST(i - 1 AS INTEGER) AS step, path[i] AS id FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM best)")
@@ -113,8 +113,8 @@ def cycles_bounded(d: Data) -> DataFrame:
 @query(
     "call_chains",
     """WITH RECURSIVE f AS MATERIALIZED (SELECT from_id, to_id FROM (SELECT from_id, to_id, row_number() OVER (PARTITION BY from_id ORDER BY id) AS r FROM trade) WHERE r <= 6),
-    w AS (SELECT 'n0' AS at, ['n0'] AS path UNION ALL SELECT f.to_id, list_append(path, f.to_id) FROM w JOIN f ON f.from_id = w.at WHERE NOT list_contains(path, f.to_id) AND len(path) < 5)
-    SELECT DISTINCT array_to_string(path, '>') AS chain FROM w WHERE len(path) = 5 OR (len(path) > 1 AND at NOT IN (SELECT from_id FROM f)) ORDER BY 1 LIMIT 20""",
+    w AS (SELECT 'n0' AS here, ['n0'] AS path UNION ALL SELECT f.to_id, list_append(path, f.to_id) FROM w JOIN f ON f.from_id = w.here WHERE NOT list_contains(path, f.to_id) AND len(path) < 5)
+    SELECT DISTINCT array_to_string(path, '>') AS chain FROM w WHERE len(path) = 5 OR (len(path) > 1 AND here NOT IN (SELECT from_id FROM f)) ORDER BY 1 LIMIT 20""",
 )
 def call_chains(d: Data) -> DataFrame:
     return traverse.call_chains(d.spark.createDataFrame([("n0",)], "id string"), d.trade.edges)
