@@ -57,9 +57,9 @@ def project_overview(d: Data) -> DataFrame:
     return _parts(traverse.overview(d.graph, traverse.overview_seeds(d.graph), 133))
 
 
-PATHS = """WITH RECURSIVE w AS (SELECT 'n0' AS at, ['n0'] AS path, CAST([] AS VARCHAR[]) AS via, 0 AS n UNION ALL
-      SELECT e.to_id, list_append(w.path, e.to_id), list_append(w.via, e.id), w.n + 1 FROM w JOIN trade e ON e.from_id = w.at WHERE w.n < 4 AND NOT list_contains(w.path, e.to_id)),
-    best AS (SELECT path, via, n FROM w WHERE at = '{0}' ORDER BY n, via LIMIT 1)"""
+PATHS = """WITH RECURSIVE w AS (SELECT 'n0' AS here, ['n0'] AS path, CAST([] AS VARCHAR[]) AS via, 0 AS n UNION ALL
+      SELECT e.to_id, list_append(w.path, e.to_id), list_append(w.via, e.id), w.n + 1 FROM w JOIN trade e ON e.from_id = w.here WHERE w.n < 4 AND NOT list_contains(w.path, e.to_id)),
+    best AS (SELECT path, via, n FROM w WHERE here = '{0}' ORDER BY n, via LIMIT 1)"""
 
 
 @query("find_path", PATHS.format("n7") + " SELECT CAST(i - 1 AS INTEGER) AS step, path[i] AS id FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM best)")
@@ -72,7 +72,7 @@ def path_edges(d: Data) -> DataFrame:
     return traverse.path_edges(d.graph, traverse.find_path(d.trade, "n0", "n7"))
 
 
-@query("all_shortest_paths", PATHS.format("n7") + " SELECT array_to_string(path, '>') AS path FROM w WHERE at = 'n7' AND n = (SELECT n FROM best) ORDER BY 1 LIMIT 5")
+@query("all_shortest_paths", PATHS.format("n7") + " SELECT array_to_string(path, '>') AS path FROM w WHERE here = 'n7' AND n = (SELECT n FROM best) ORDER BY 1 LIMIT 5")
 def all_shortest_paths(d: Data) -> DataFrame:
     return traverse.all_shortest_paths(d.trade.edges, "n0", "n7")
 
