@@ -17,14 +17,33 @@ from .common import arrow_batches, arrow_rows
 
 LETTER = re.compile(r"[^\W\d_]").search
 #: Words whose sums are kept, at most; then the store is emptied.
-CACHE = 300_000
+CACHE = 400_000
+#: Words of a text looked up at a time.
+PART = 50_000
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Buckets of a word's n-grams of 1 to 4 characters, with marks at its ends, and of the word itself."""
+class _Grams(dict):
+    """The bucket of an n-gram; filled as they come up, and emptied when large."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        self[gram] = bucket = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % self.buckets
+        return bucket
+
+
+def subwords(word: str, grams: _Grams) -> list[int]:
+    """Buckets of a word's n-grams of 2 and 3 characters, with marks at its ends, and of the word itself."""
     marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in (*grams, marked)]
+    n = len(marked)
+    out = [grams[marked[i : i + 2]] for i in range(n - 1)]
+    out += [grams[marked[i : i + 3]] for i in range(n - 2)]
+    if n < 24:
+        out.append(grams[marked])
+    return out
 
 
 def _words(text: str) -> Counter:
@@ -42,38 +61,49 @@ class Model:
     threshold: float
 
     def __post_init__(self):
-        self._kept: dict[str, tuple[np.ndarray, int]] = {}
+        self._kept: dict[str, int] = {}
+        self._grams = _Grams(len(self.scores))
+        self._table = np.zeros((0, len(self.langs) + 1))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self._kept = {}
+        self.__post_init__()
 
     def logits(self, text: str) -> np.ndarray:
-        if len(self._kept) > CACHE:
-            self._kept.clear()
-        kept, width = self._kept, len(self.scores)
+        """Scores summed over all subwords of all words, divided by their number."""
         counts = _words(text)
-        rows = np.empty((len(counts), len(self.langs) + 1))
-        for i, word in enumerate(counts):
-            row = kept.get(word)
-            if row is None:
-                if len(word) > 64:  # a run without spaces: counted whole, not kept
-                    row = self._row(word, width)
-                else:
-                    row = kept[word] = self._row(word, width)
-            rows[i] = row
-        sums = np.fromiter(counts.values(), np.float64, len(counts)) @ rows
+        items, sums = list(counts), np.zeros(len(self.langs) + 1)
+        for at in range(0, len(items), PART):
+            part = items[at : at + PART]
+            rows = self._rows(part)
+            sums += np.fromiter((counts[w] for w in part), np.float64, len(part)) @ rows
         return sums[:-1] / max(1.0, sums[-1]) + self.bias
 
-    def _row(self, word: str, width: int) -> np.ndarray:
-        out, at = np.zeros(len(self.langs) + 1), 0
-        for at in range(0, len(word), 1 << 16):
-            ids = subwords(word[at : at + (1 << 16)], width)
-            out[:-1] += self.scores[ids].sum(axis=0, dtype=np.float64)
-            out[-1] += len(ids)
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """For each word the sum of its subwords' scores, and their number; frequent words' are kept."""
+        if len(self._kept) + len(words) > CACHE or not len(self._table):
+            self._kept.clear()
+            if not len(self._table):
+                self._table = np.zeros((CACHE, len(self.langs) + 1))
+        kept = self._kept
+        new = [w for w in words if w not in kept]
+        if new:
+            ids, starts = [], []
+            for w in new:
+                starts.append(len(ids))
+                ids += subwords(w, self._grams)
+            flat = np.array(ids)
+            first = len(kept)
+            self._table[first : first + len(new), :-1] = np.add.reduceat(self.scores[flat].astype(np.float64), starts, axis=0)
+            self._table[first : first + len(new), -1] = np.diff(np.append(starts, len(ids)))
+            for k, w in enumerate(new):
+                kept[w] = first + k
+        out = self._table[np.fromiter(map(kept.__getitem__, words), np.int64, len(words))]
+        if any(len(w) > 256 for w in new):  # runs without spaces aren't worth keeping
+            kept.clear()
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -97,11 +127,11 @@ def train(samples: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16,
     if not langs:
         return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    features = []
+    features, grams = [], _Grams(buckets)
     for text, lang in samples:
         ids, times = [], []
         for word, n in _words(text).items():
-            own = subwords(word, buckets)
+            own = subwords(word, grams)
             ids += own
             times += [n] * len(own)
         weight = np.bincount(ids, times, buckets)
@@ -147,13 +177,16 @@ def train(samples: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16,
 def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 4000) -> Model:
     """A model of ``docs`` (doc_id, text, lang), from a sample of bounded size.
 
-    ``sample_rows`` rows with text and lang, first by hash of doc_id, of which each gives ``sample_chars``
+    Up to ``sample_rows`` rows with text and lang, first by hash of doc_id, of which each gives ``sample_chars``
     characters: the driver holds no more than their product. Rows whose crc32(doc_id as text) mod 4 is 2, or
     whose doc_id is null, are never learned from.
     """
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out)
-    rows = usable.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang").orderBy("h", "doc_id", "text", "lang").limit(sample_rows).collect()
+    # the share drawn by hash is a little above what is wanted, so that tasks send few rows however many there are
+    share = min(1.0, 1.2 * sample_rows / max(1, usable.count()))
+    drawn = usable.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("h"), "doc_id", "text", "lang").where(F.col("h") <= int(share * (1 << 62)))
+    rows = drawn.select("h", "doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang").orderBy("h", "doc_id", "text", "lang").limit(sample_rows).collect()
     return train([(r["text"], r["lang"]) for r in rows])
 
 
