@@ -56,7 +56,7 @@ CALLS = f"""
 SELECT concat('m', o_orderkey % 500) AS from_id, f.path AS file_path, f.is_test AS is_test, CAST(o_orderkey % 40 AS INT) AS line, CAST(o_orderkey AS BIGINT) AS ord, concat('s', o_orderkey % 60) AS name,
        CASE o_orderkey % 3 WHEN 0 THEN concat('s', o_orderkey % 60) WHEN 1 THEN concat('obj.s', o_orderkey % 60) ELSE concat('pkg.tool.s', (o_orderkey + 13) % 60) END AS full_name,
        CASE WHEN o_orderkey % 4 = 0 THEN concat('Owner', o_orderkey % 5) ELSE '' END AS owner
-FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN ({FILES}) f ON c_nationkey = f.key WHERE o_orderkey < 6000
+FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN ({FILES}) f ON c_nationkey = f.key
 """
 IMPORTS = f"""
 SELECT f.path AS file_path, f.id AS file_id, f.is_test AS is_test, CAST(s_suppkey AS BIGINT) AS ord, CAST(s_suppkey % 90 AS INT) AS line,
