@@ -28,3 +28,18 @@ def test_calls_of_all_orders(spark, folder):
     assert d.bound("calls").count() == d.table("orders").count()
     assert __spark_entry__.queries()["join_local_symbol"](spark, folder).where("ord >= 1000000").count() == d.table("orders").where("o_orderkey >= 1000000").count()
 
+
+def test_components_of_the_full_graph(spark, folder):
+    d = Data(spark, folder)
+    parent = {r["id"]: r["id"] for r in d.graph.nodes.select("id").collect()}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in d.graph.edges.select("from_id", "to_id").collect():
+        parent[find(r["from_id"])] = find(r["to_id"])
+    want = len({find(x) for x in parent})
+    assert want > 10 and __spark_entry__.queries()["wcc_count"](spark, folder).first()["full_count"] == want

@@ -205,12 +205,10 @@ def communities(d: Data) -> DataFrame:
     return analytics.communities(d.trade.nodes.select("id"), d.trade.edges)
 
 
-@query("wcc_count", "WITH RECURSIVE e AS MATERIALIZED (SELECT from_id AS u, to_id AS v FROM trade UNION SELECT to_id, from_id FROM trade), r AS (SELECT id AS s, id AS t FROM nodes WHERE type = 'file' UNION SELECT r.s, e.v FROM r JOIN e ON r.t = e.u) SELECT count(DISTINCT m) AS trade_count, 1::BIGINT AS full_count FROM (SELECT s, min(t) AS m FROM r GROUP BY 1)")
+@query("wcc_count", "WITH RECURSIVE g AS MATERIALIZED (SELECT from_id AS u, to_id AS v FROM edges UNION SELECT to_id, from_id FROM edges), c(id, m) USING KEY (id) AS (SELECT id, id AS m FROM nodes UNION SELECT g.v, min(c.m) FROM c JOIN g ON c.id = g.u JOIN recurring.c t ON t.id = g.v WHERE c.m < t.m GROUP BY 1), e AS MATERIALIZED (SELECT from_id AS u, to_id AS v FROM trade UNION SELECT to_id, from_id FROM trade), r AS (SELECT id AS s, id AS t FROM nodes WHERE type = 'file' UNION SELECT r.s, e.v FROM r JOIN e ON r.t = e.u) SELECT count(DISTINCT m) AS trade_count, (SELECT count(DISTINCT m) FROM c) AS full_count FROM (SELECT s, min(t) AS m FROM r GROUP BY 1)")
 def wcc_count(d: Data) -> DataFrame:
     count = lambda g, name: weak_components(g.nodes, g.edges).agg(F.count_distinct("component").alias(name))
-    # orders without a line item hang on their customer, parts without one stand alone and are left out here
-    linked = PropertyGraph(d.graph.nodes.where("type <> 'function'"), d.graph.edges_of("OWNS", "DEFINES"))
-    return count(d.trade, "trade_count").crossJoin(count(linked, "full_count"))
+    return count(d.trade, "trade_count").crossJoin(count(d.graph, "full_count"))
 
 
 @query("scc_count", "WITH RECURSIVE r AS (SELECT from_id AS s, to_id AS t FROM trade UNION SELECT r.s, e.to_id FROM r JOIN trade e ON r.t = e.from_id) SELECT n.id, least(n.id, coalesce(m, n.id)) AS component FROM (SELECT id FROM nodes WHERE type = 'file') n LEFT JOIN (SELECT a.s, min(a.t) AS m FROM r a JOIN r b ON a.s = b.t AND a.t = b.s GROUP BY 1) ON n.id = s")
