@@ -1,10 +1,14 @@
 """Registered queries do the whole job: on folders made so that a part of the job would show."""
 
+import hashlib
+import json
 import os
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__
+from tracelode.operators import export
 from tracelode.plans.registry import Data
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,3 +47,22 @@ def test_components_of_the_full_graph(spark, folder):
         parent[find(r["from_id"])] = find(r["to_id"])
     want = len({find(x) for x in parent})
     assert want > 10 and __spark_entry__.queries()["wcc_count"](spark, folder).first()["full_count"] == want
+
+
+def test_budget_of_the_whole_graph(spark, folder):
+    d = Data(spark, folder)
+    taken = __spark_entry__.queries()["prune_token_budget"](spark, folder).where("part = 'node'")
+    kinds = {r["type"]: r["count"] for r in taken.join(d.graph.nodes, "id").groupBy("type").count().collect()}
+    assert kinds.get("function", 0) > 0
+
+
+def test_scan_of_the_whole_folder(spark):
+    found = {r["path"]: (r["hash"], r["size"]) for r in __spark_entry__.queries()["scan_files"](spark, FOLDER).collect()}
+    want = {str(f.relative_to(FOLDER)): (hashlib.sha256(f.read_bytes()).hexdigest(), f.stat().st_size) for f in Path(FOLDER).rglob("*.parquet") if f.is_file()}
+    assert len(want) > 1 and found == want
+
+
+def test_ai_bundle_of_the_whole_graph(spark, folder):
+    document = json.loads(__spark_entry__.queries()["export_ai"](spark, folder).first()["document"])
+    best = export.ai_result(Data(spark, folder).graph, 200).importance().collect()
+    assert [r["id"] for r in document["ranking"]] == [r["id"] for r in sorted(best, key=lambda r: (-r["importance"], r["id"]))[:50]]

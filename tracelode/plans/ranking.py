@@ -233,15 +233,15 @@ def edge_tokens(d: Data) -> DataFrame:
 @query(
     "prune_token_budget",
     f"""WITH RECURSIVE ranked AS MATERIALIZED (SELECT id, CAST(ceil((length(name) + length(full_name) + length(summary) + 2) * 0.25::DOUBLE) AS BIGINT) AS tokens,
-      row_number() OVER (ORDER BY CASE WHEN type IN ('file', 'class', 'function') THEN 0 ELSE 1 END, {ORDER}, name, id) AS r FROM nodes WHERE type IN ('file', 'class', 'interface')),
+      row_number() OVER (ORDER BY CASE WHEN type IN ('file', 'class', 'function') THEN 0 ELSE 1 END, {ORDER}, name, id) AS r FROM nodes),
     walk AS (SELECT 0::BIGINT AS r, 0::BIGINT AS used, false AS taken, '' AS id UNION ALL
-      SELECT k.r, CASE WHEN w.used + k.tokens <= 4480 THEN w.used + k.tokens ELSE w.used END, w.used + k.tokens <= 4480, k.id FROM walk w JOIN ranked k ON k.r = w.r + 1),
+      SELECT k.r, CASE WHEN w.used + k.tokens <= 4480 THEN w.used + k.tokens ELSE w.used END, w.used + k.tokens <= 4480, k.id FROM walk w JOIN ranked k ON k.r = w.r + 1 WHERE w.used + (SELECT min(tokens) FROM ranked) <= 4480),
     kept AS (SELECT id FROM walk WHERE taken),
     inner_edges AS (SELECT id, 51 * row_number() OVER (ORDER BY id) AS upto FROM edges WHERE from_id IN (SELECT id FROM kept) AND to_id IN (SELECT id FROM kept))
     SELECT 'node' AS part, id FROM kept UNION ALL SELECT 'edge', id FROM inner_edges WHERE upto <= 1920""",
 )
 def prune_token_budget(d: Data) -> DataFrame:
-    g = export.pruned(PropertyGraph(d.graph.nodes_of("file", "class", "interface"), d.graph.edges), 8000)
+    g = export.pruned(d.graph, 8000)
     return g.nodes.select(F.lit("node").alias("part"), "id").union(g.edges.select(F.lit("edge"), "id"))
 
 

@@ -418,6 +418,5 @@ def export_json(d: Data) -> DataFrame:
 
 @query("export_ai")
 def export_ai(d: Data) -> DataFrame:
-    near = PropertyGraph(d.graph.nodes_of("project", "file", "class"), d.graph.edges_of("DEPENDS_ON", "ENTRY_POINT", "DEFINES"))
-    document = export.ai_bundle(near, {"name": "project"}, {"type": "overview"}, most_tokens=4000, most_nodes=200)
+    document = export.ai_bundle(d.graph, {"name": "project"}, {"type": "overview"}, most_tokens=4000, most_nodes=200)
     return d.spark.createDataFrame([("ai", export.to_json(document))], "format string, document string")
