@@ -180,9 +180,9 @@ def _pagerank_sql(rounds: int) -> str:
     return ", ".join(steps) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(5))
+@query("pagerank", _pagerank_sql(20))
 def pagerank(d: Data) -> DataFrame:
-    return analytics.pagerank(d.graph.nodes, d.graph.edges, rounds=5).select("id", F.round("rank", 9).alias("rank"))
+    return analytics.pagerank(d.graph.nodes, d.graph.edges).select("id", F.round("rank", 9).alias("rank"))
 
 
 def _betweenness_sql(hops: int) -> str:
