@@ -54,6 +54,26 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*values).alias("key_a"), F.xxhash64(F.lit("b"), *values, F.lit("b")).alias("key_b")]
 
 
+#: Keys that are joined by broadcast because they are frequent, at most: each has more than this part of all rows.
+FREQUENT = 1 << 12
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], *columns: str) -> DataFrame:
+    """``rows`` whose key ``on`` is in ``keys`` (on, rows, columns), with those columns; a frequent key doesn't fill a task.
+
+    ``keys.rows`` is how many of ``rows`` a key has. Keys with more than a ``FREQUENT``-th part of all, so fewer than
+    ``FREQUENT`` of them whatever the size, are broadcast; all others meet by shuffle. ``rows`` is read up to three times, so it should be stored.
+    """
+    most = rows.count() // FREQUENT + 1000
+    few = checkpointed(keys.where(F.col("rows") > most).select(*on, *columns))
+    rest = keys.where(F.col("rows") <= most).select(*on, *columns)
+    how = "inner" if columns else "left_semi"
+    if few.isEmpty():
+        return rows.join(rest.hint("shuffle_hash"), on, how)
+    cold = rows.join(F.broadcast(few.select(*on).distinct()), on, "left_anti")
+    return rows.join(F.broadcast(few), on, how).unionByName(cold.join(rest.hint("shuffle_hash"), on, how))
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256) -> Iterator[tuple]:
     """The named columns' values, row by row; ``at_once`` rows of one batch are Python values at a time."""
     for batch in batches:

@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
