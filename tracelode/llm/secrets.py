@@ -7,7 +7,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +22,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("pem_key", "der_key", "ssh_key", "signed_token")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-RUN16 = re.compile(r"[0-9A-Fa-f]{64,}")
-SIGNED = re.compile(r"([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+# Runs are taken whole or not at all (possessive quantifiers), so that a long one costs time in proportion.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
+RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+RUN16 = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{20,}+")
 SSH_MAGIC = b"openssh-key-v1\x00"
+#: Where a key may begin inside a run: sequences of two or three bytes of length, the shortest key, OpenSSH's magic.
+BEGIN64 = re.compile("MI[GHIJ]|MC4|b3BlbnNzaC1rZXktdjEA")
 
 
 def decode64(run: str) -> bytes | None:
@@ -84,29 +87,62 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """OpenSSH's private form: magic, three length-prefixed strings, a count of keys, then as many and one more."""
-    if not data.startswith(SSH_MAGIC):
+def _der_size(head: bytes) -> int | None:
+    """Bytes of the sequence that ``head`` begins, its header included; None where it begins none."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or len(head) < 2 + n or head[1] == 0x80:
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _ssh_fields(size: int, read: Callable[[int, int], bytes]) -> bool:
+    """OpenSSH's private form in ``size`` bytes, of which ``read(at, n)`` gives n: only lengths are read.
+
+    Magic, three length-prefixed strings, a count of keys, then as many strings and one more.
+    """
+    if read(0, len(SSH_MAGIC)) != SSH_MAGIC:
         return False
     at, fields = len(SSH_MAGIC), 0
     keys, want = None, 3
     while fields < want:
-        if at + 4 > len(data):
+        if at + 4 > size:
             return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
+        at += 4 + int.from_bytes(read(at, 4), "big")
         fields += 1
-        if at > len(data):
+        if at > size:
             return False
         if fields == 3 and keys is None:
-            if at + 4 > len(data):
+            if at + 4 > size:
                 return False
-            keys = int.from_bytes(data[at : at + 4], "big")
+            keys = int.from_bytes(read(at, 4), "big")
             at += 4
             if not 1 <= keys <= 16:
                 return False
             want = 3 + keys + 1
-    return at == len(data)
+    return at == size
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return _ssh_fields(len(data), lambda at, n: data[at : at + n])
+
+
+def key_kind(run: str, start: int) -> int | None:
+    """The rank of the kind of key that run[start:] encodes in base64, or None; it is decoded whole only where its lengths fit."""
+    body = len(run.rstrip("=")) - start
+    if body % 4 == 1:
+        return None
+    size = body * 3 // 4
+
+    def read(at: int, n: int) -> bytes:
+        first = at // 3
+        part = run[start + first * 4 : start + min(body, -(-(at + n) // 3) * 4)]
+        return (decode64(part) or b"")[at - first * 3 :][:n]
+
+    if _der_size(read(0, 6)) == size:
+        return 4 if is_der_key(decode64(run[start:]) or b"") else None
+    return 5 if _ssh_fields(size, read) else None
 
 
 def is_signed_token(header: str, claims: str, signature: str) -> bool:
@@ -138,7 +174,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of kind, end) of candidates whose decoded structure is that of a secret.
 
     A base64 run may have letters before it (a key=value); only runs that decode as a whole count, or the part
-    from where a sequence or the magic begins in base64.
+    from where a sequence or the magic begins in base64. Time grows with the text's length, whatever its runs are.
     """
     out = []
     if "-----BEGIN " in text:
@@ -148,14 +184,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((m.start(), 3, m.end()))
     for m in RUN64.finditer(text):
         run = m[0]
-        places = {0, *(x.start() for x in re.finditer("MI[GHIJ]|MC4|b3BlbnNzaC1rZXktdjEA", run))}
-        for at in sorted(places):
-            data = decode64(run[at:])
-            if data and data[0] == 0x30 and is_der_key(data):
-                out.append((m.start() + at, 4, m.end()))
-                break
-            if data and is_ssh_key(data):
-                out.append((m.start() + at, 5, m.end()))
+        for at in dict.fromkeys((0, *(x.start() for x in BEGIN64.finditer(run)))):
+            kind = key_kind(run, at)
+            if kind is not None:
+                out.append((m.start() + at, kind, m.end()))
                 break
     for m in RUN16.finditer(text):
         if len(m[0]) % 2 == 0:
@@ -165,10 +197,23 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             elif is_ssh_key(data):
                 out.append((m.start(), 5, m.end()))
     if "eyJ" in text or "ewo" in text or "eyA" in text:
-        out += [(m.start(), 6, m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2], m[3])]
+        out += [x for m in DOTTED.finditer(text) for x in _tokens(m[0], m.start())]
     return sorted(out)
 
 
+def _tokens(run: str, begin: int) -> Iterator[tuple[int, int, int]]:
+    """Signed tokens among the parts between a run's dots; each part is decoded at most twice."""
+    parts, at, skip = run.split("."), begin, 0
+    for i, part in enumerate(parts[:-2]):
+        claims, signature = parts[i + 1], parts[i + 2]
+        if skip:
+            skip -= 1
+        elif part[:1] == "e" and len(part) >= 12 and len(claims) >= 4 and is_signed_token(part, claims, signature):
+            yield at, 6, at + len(part) + len(claims) + len(signature) + 2
+            skip = 2
+        at += len(part) + 1
+
+
 def _named(spans: list[tuple[int, int, int]]) -> str:
     kinds = (*BASE_KINDS, *ADDED_KINDS)
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
@@ -180,7 +225,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     Base spans are the matches of three patterns; confirmed ones (kinds ``ADDED_KINDS``) are base64 or hex
     candidates that decode to a private key whose nested lengths fit exactly, or tokens whose header and claims
     parse. ``spans`` lists all as kind:start:end by start, then kind, in code points with the end exclusive.
-    Null and empty texts have none. Repeated rows get equal results; an empty table gives no rows; other columns are ignored.
+    Null and empty texts have none; very long ones are scanned whole, in linear time. Repeated rows get equal results; an empty table gives no rows; other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("n_confirmed", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
