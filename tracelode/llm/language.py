@@ -2,192 +2,277 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_rows
+from .common import arrow_batches, arrow_rows, stored
 
-LETTER = re.compile(r"[^\W\d_]").search
-#: Words whose sums are kept, at most; then the store is emptied.
-CACHE = 400_000
-#: Words of a text looked up at a time.
-PART = 50_000
+#: n-grams of a word with a mark at each end, from one character to as many.
+LONGEST = 4
+#: Words of the excerpts that a sampled text adds to itself.
+EXCERPTS = (1, 3, 9)
+#: Characters hashed at a time; a longer text is taken in parts of whole words where it has any.
+PART = 1 << 16
+_MIX = np.uint32(0x9E3779B1)
+#: Marks that set n-grams of different length, and whole words, apart.
+_SALT = np.array([0, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646C], np.uint32)
+_POWERS = np.array([pow(0x01000193, i, 1 << 32) for i in range(PART + 2)], np.uint32)
 
 
-class _Grams(dict):
-    """The bucket of an n-gram; filled as they come up, and emptied when large."""
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
 
-    def __missing__(self, gram: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[gram] = bucket = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % self.buckets
-        return bucket
+def marked(text: str) -> str:
+    """A text's words in lower case, each between single spaces, which mark its ends."""
+    return f" {' '.join(text.lower().split())} "
 
 
-def subwords(word: str, grams: _Grams) -> list[int]:
-    """Buckets of a word's n-grams of 2 and 3 characters, with marks at its ends, and of the word itself."""
-    marked = f"<{word}>"
-    n = len(marked)
-    out = [grams[marked[i : i + 2]] for i in range(n - 1)]
-    out += [grams[marked[i : i + 3]] for i in range(n - 2)]
-    if n < 24:
-        out.append(grams[marked])
-    return out
+def _parts(words: str) -> Iterator[str]:
+    """``words`` in parts of at most ``PART`` characters, cut at a mark, which both sides have; a longer word is cut inside."""
+    at = 0
+    while len(words) - at > PART:
+        cut = words.rfind(" ", at + 1, at + PART)
+        end = cut + 1 if cut > at else at + PART
+        yield words[at:end]
+        at = end - 1 if cut > at else end
+    yield words[at:]
 
 
-def _words(text: str) -> Counter:
-    return Counter(text.lower().split())
+def features(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of ``text`` (marked), place by place, and whether there is one.
+
+    Subwords are a word's n-grams of 1 to ``LONGEST`` characters, its marks among them, and the word itself. All are hashed at
+    once: row n - 1 has the n-grams by where they begin, the last row the words by where they end. ``buckets`` is a power of two.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    shift, size = np.uint32(32 - (buckets.bit_length() - 1)), len(c)
+    mark = c == 32
+    ids, there = np.zeros((LONGEST + 1, size), np.uint32), np.zeros((LONGEST + 1, size), bool)
+    rolled, inner = c, np.zeros(size, bool)
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            rolled = rolled[:-1] * np.uint32(0x01000193) + c[n - 1 :]
+            if n > 2:  # no mark between the ends
+                inner = inner[: len(rolled)] | mark[n - 2 : n - 2 + len(rolled)]
+        here = slice(0, len(rolled))
+        ids[n - 1, here] = ((rolled ^ _SALT[n]) * _MIX) >> shift
+        there[n - 1, here] = ~mark if n == 1 else ~(mark[here] & mark[1 : len(rolled) + 1]) if n == 2 else ~inner[here]
+    edges = np.flatnonzero(mark)
+    first, last = edges[:-1], edges[1:]
+    some = last - first > 1
+    first, last = first[some], last[some]
+    if len(first):
+        length = last - first
+        starts = np.repeat(first, length)
+        inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        sums = np.add.reduceat(c[starts + inside] * _POWERS[inside], np.cumsum(length) - length, dtype=np.uint32)
+        ids[LONGEST, last] = ((sums ^ _SALT[LONGEST + 1]) * _MIX) >> shift
+        there[LONGEST, last] = True
+    return ids, there
+
+
+def counted(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A whole text's different buckets, ascending, and how often each occurs."""
+    total = np.zeros(buckets, np.int64)
+    for part in _parts(marked(text)):
+        ids, there = features(part, buckets)
+        total += np.bincount(ids[there], minlength=buckets)
+    used = np.flatnonzero(total)
+    return used, total[used]
+
+
+def excerpts(text: str) -> list[str]:
+    """A few words each from places that the text decides; they teach what little text can tell, and how much to trust it."""
+    words = text.split()
+    out = []
+    for n in EXCERPTS:
+        if len(words) > n:
+            at = zlib.crc32(f"{n} {len(words)} {words[0]}".encode("utf-8", "surrogatepass")) % (len(words) - n)
+            out.append(" ".join(words[at : at + n]))
+    return [x for x in out if has_letter(x)]
 
 
 @dataclass
 class Model:
-    """``scores``: each bucket's embedding already multiplied by the softmax weights, (buckets, languages)."""
+    """Sums over a text's subwords come from ``planes``: a number for each bucket, and a last one that is zero.
+
+    Planes are the embeddings' dimensions, which ``weights`` turn into scores, or where languages are fewer, the scores
+    themselves (``weights`` is None then); so a prediction's work is bounded by the smaller of both.
+    """
 
     langs: list[str]
-    scores: np.ndarray
+    planes: np.ndarray
+    weights: np.ndarray | None
     bias: np.ndarray
-    temperature: float
+    temperature: tuple[float, float]
     threshold: float
 
-    def __post_init__(self):
-        self._kept: dict[str, int] = {}
-        self._grams = _Grams(len(self.scores))
-        self._table = np.zeros((0, len(self.langs) + 1))
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.__post_init__()
-
-    def logits(self, text: str) -> np.ndarray:
-        """Scores summed over all subwords of all words, divided by their number."""
-        counts = _words(text)
-        items, sums = list(counts), np.zeros(len(self.langs) + 1)
-        for at in range(0, len(items), PART):
-            part = items[at : at + PART]
-            rows = self._rows(part)
-            sums += np.fromiter((counts[w] for w in part), np.float64, len(part)) @ rows
-        return sums[:-1] / max(1.0, sums[-1]) + self.bias
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        """For each word the sum of its subwords' scores, and their number; frequent words' are kept."""
-        if len(self._kept) + len(words) > CACHE or not len(self._table):
-            self._kept.clear()
-            if not len(self._table):
-                self._table = np.zeros((CACHE, len(self.langs) + 1))
-        kept = self._kept
-        new = [w for w in words if w not in kept]
-        if new:
-            ids, starts = [], []
-            for w in new:
-                starts.append(len(ids))
-                ids += subwords(w, self._grams)
-            flat = np.array(ids)
-            first = len(kept)
-            self._table[first : first + len(new), :-1] = np.add.reduceat(self.scores[flat].astype(np.float64), starts, axis=0)
-            self._table[first : first + len(new), -1] = np.diff(np.append(starts, len(ids)))
-            for k, w in enumerate(new):
-                kept[w] = first + k
-        out = self._table[np.fromiter(map(kept.__getitem__, words), np.int64, len(words))]
-        if any(len(w) > 256 for w in new):  # runs without spaces aren't worth keeping
-            kept.clear()
+    @classmethod
+    def of(cls, langs: list[str], embed: np.ndarray, weights: np.ndarray, *rest) -> Model:
+        few = len(langs) <= embed.shape[1]
+        planes = np.zeros((len(langs) if few else embed.shape[1], len(embed) + 1))
+        planes[:, :-1] = (embed @ weights if few else embed).T
+        return cls(langs, planes, None if few else weights, *rest)
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """For each text (marked) the planes' sums over all its subwords, and their number."""
+        out, held, load = np.zeros((len(texts), len(self.planes) + 1)), [], 0
+        for i, text in enumerate(texts):
+            for part in _parts(text):
+                if held and load + len(part) > PART:
+                    self._add(held, out)
+                    held, load = [], 0
+                held.append((i, part))
+                load += len(part)
+        if held:
+            self._add(held, out)
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not LETTER(text) or not self.langs:
-            return "und", 0.0
-        z = self.logits(text) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return self.langs[best], float(min(1.0, p[best]))
+    def _add(self, held: list[tuple[int, str]], out: np.ndarray) -> None:
+        buckets = self.planes.shape[1] - 1
+        ids, there = features("".join([p for _, p in held]), buckets)
+        np.copyto(ids, np.uint32(buckets), where=~there)  # a plane's last value is zero
+        sizes = np.array([len(p) for _, p in held])
+        starts = np.cumsum(sizes) - sizes
+        which = [i for i, _ in held]
+        places = ids.astype(np.intp)
+        for k, plane in enumerate(self.planes):
+            rows = np.add.reduceat(plane[places], starts, axis=1)
+            np.add.at(out[:, k], which, rows.sum(axis=0))
+        np.add.at(out[:, -1], which, np.add.reduceat(there, starts, axis=1, dtype=np.int64).sum(axis=0))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; ``und`` and 0 where it is null or has no letter, or nothing was learned."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        which = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
+        if which:
+            sums = self.sums([marked(texts[i]) for i in which])
+            hidden = sums[:, :-1] / np.maximum(1.0, sums[:, -1:])
+            z = (hidden if self.weights is None else hidden @ self.weights) + self.bias
+            p = probabilities(z, sums[:, -1], self.temperature)
+            for i, row in zip(which, p, strict=True):
+                best = int(row.argmax())
+                out[i] = self.langs[best], float(min(1.0, row[best]))
+        return out
+
+    def accepts(self, lang: str, score: float) -> bool:
+        return lang != "und" and score >= self.threshold
+
 
+def probabilities(z: np.ndarray, subwords: np.ndarray, temperature: tuple[float, float]) -> np.ndarray:
+    """Softmax at a temperature that is higher for fewer subwords: its first number, times 1 + the second over their count."""
+    t = temperature[0] * (1 + temperature[1] / np.maximum(1.0, subwords))
+    e = np.exp((z - z.max(axis=1, keepdims=True)) / t[:, None])
+    return e / e.sum(axis=1, keepdims=True)
 
-def train(samples: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """A model from (text, lang), by stochastic gradient descent over the embeddings and the softmax.
 
-    A fifth of the samples sets the temperature that makes scores probabilities, and the rejection threshold:
-    half the score that all but one in a hundred of their right predictions exceed.
+def train(samples: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+    """A model from (lang, [(buckets, counts) of the whole text, then of excerpts]), by stochastic gradient descent over the
+    embeddings and the softmax.
+
+    A fifth of the samples sets the temperatures that make scores probabilities, and the rejection threshold: half the
+    score that all but one in a hundred of the whole texts' right predictions exceed. Buckets never met stay zero, so a text
+    of unknown characters scores as little as chance, and is rejected.
     """
-    samples = [(t, k) for t, k in samples if LETTER(t or "")]
-    langs = sorted({k for _, k in samples})
+    langs = sorted({k for k, _ in samples})
     if not langs:
-        return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((0, 2)), None, np.zeros(0), (1.0, 0.0), 0.0)
     rng = np.random.default_rng(seed)
-    features, grams = [], _Grams(buckets)
-    for text, lang in samples:
-        ids, times = [], []
-        for word, n in _words(text).items():
-            own = subwords(word, grams)
-            ids += own
-            times += [n] * len(own)
-        weight = np.bincount(ids, times, buckets)
-        used = np.flatnonzero(weight)
-        features.append((used, weight[used] / weight.sum(), langs.index(lang)))
-    order = rng.permutation(len(features))
-    check, learn = order[: len(order) // 5], order[len(order) // 5 :]
-    embed = rng.normal(0, 1 / dim, (buckets, dim))
+    order = rng.permutation(len(samples))
+    fifth = len(order) // 5
+
+    def rows(which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int, bool]]:
+        return [(used, n / n.sum(), langs.index(samples[i][0]), int(n.sum()), whole == 0) for i in which for whole, (used, n) in enumerate(samples[i][1])]
+
+    check, learn = rows(order[:fifth]), rows(order[fifth:])
+    met = np.zeros(buckets, bool)
+    for used, *_ in learn:
+        met[used] = True
+    embed = rng.normal(0, 1 / dim, (buckets, dim)) * met[:, None]
     w, b = np.zeros((dim, len(langs))), np.zeros(len(langs))
     steps, done = epochs * len(learn), 0
     for _ in range(epochs):
-        for i in rng.permutation(learn):
+        for i in rng.permutation(len(learn)):
             step = rate * (1 - done / steps)
             done += 1
-            ids, weight, k = features[i]
+            ids, weight, k, *_ = learn[i]
             hidden = weight @ embed[ids]
-            z = hidden @ w + b
-            p = np.exp(z - z.max())
+            p = hidden @ w + b
+            p = np.exp(p - p.max())
             p /= p.sum()
             p[k] -= 1
             back = w @ p
             w -= step * np.outer(hidden, p)
             b -= step * p
-            embed[ids] -= step * len(ids) ** 0.5 * np.outer(weight, back)
-    z = np.array([f[1] @ (embed[f[0]] @ w) + b for f in (features[i] for i in check)]).reshape(-1, len(langs))
-    truth = np.array([features[i][2] for i in check], int)
-
-    def probabilities(t: float) -> np.ndarray:
-        e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
-        return e / e.sum(axis=1, keepdims=True)
-
-    temperature, threshold = 1.0, 0.0
-    if len(check):
-        grid = np.geomspace(0.05, 5, 40)
-        temperature = float(min(grid, key=lambda t: -np.log(probabilities(t)[np.arange(len(truth)), truth] + 1e-12).sum()))
-        p = probabilities(temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == truth]
+            embed[ids] -= step * min(len(ids), 1024) ** 0.5 * np.outer(weight, back)
+    temperature, threshold = (1.0, 0.0), 0.0
+    if check:
+        z = np.array([weight @ (embed[ids] @ w) + b for ids, weight, *_ in check])
+        truth, size, whole = (np.array([r[c] for r in check]) for c in (2, 3, 4))
+        loss = lambda t: -np.log(probabilities(z, size, t)[np.arange(len(truth)), truth] + 1e-12).sum()
+        temperature = min(((float(t), float(c)) for t in np.geomspace(0.02, 5, 24) for c in (0, 10, 30, 100, 300, 1000)), key=loss)
+        p = probabilities(z, size, temperature)
+        right = p.max(axis=1)[(p.argmax(axis=1) == truth) & whole]
         if len(right):
             threshold = float(np.quantile(right, 0.01)) / 2
-    return Model(langs, (embed @ w).astype(np.float32), b, temperature, threshold)
+    return Model.of(langs, embed, w, b, temperature, threshold)
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 4000) -> Model:
-    """A model of ``docs`` (doc_id, text, lang), from a sample of bounded size.
+#: Rows that are never learned from.
+HELD_OUT = "crc32(cast(doc_id AS string)) % 4 = 2"
 
-    Up to ``sample_rows`` rows with text and lang, first by hash of doc_id, of which each gives ``sample_chars``
-    characters: the driver holds no more than their product. Rows whose crc32(doc_id as text) mod 4 is 2, or
-    whose doc_id is null, are never learned from.
+
+def fit(docs: DataFrame, sample_rows: int = 2000, buckets: int = 1 << 16) -> Model:
+    """A model of ``docs`` (doc_id, text, lang), from a sample of bounded size: up to ``sample_rows`` labelled rows, whole texts.
+
+    Every language gives the same number of rows, or all it has; where there are more languages than ``sample_rows``, the most
+    frequent give one each. Rows are drawn by hash of doc_id. A task makes a row's text, whatever its length, at most ``buckets``
+    counts, and those of a few excerpts; these go to the driver. Rows whose crc32(doc_id as text) mod 4 is 2, whose doc_id is null or whose text has no letter
+    are never learned from.
     """
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out)
-    # the share drawn by hash is a little above what is wanted, so that tasks send few rows however many there are
-    share = min(1.0, 1.2 * sample_rows / max(1, usable.count()))
-    drawn = usable.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("h"), "doc_id", "text", "lang").where(F.col("h") <= int(share * (1 << 62)))
-    rows = drawn.select("h", "doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang").orderBy("h", "doc_id", "text", "lang").limit(sample_rows).collect()
-    return train([(r["text"], r["lang"]) for r in rows])
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.expr(HELD_OUT))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(sample_rows)
+    counts = stored(counts)  # one row a language, ``sample_rows`` at most
+    quota = max(1, sample_rows // max(1, counts.count()))
+    # the share drawn by hash is a little above what is wanted, so that few rows are sorted however many there are
+    share = F.least(F.lit(1.0), (1.2 * quota + 20) / F.col("all"))
+    drawn = usable.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h"), "doc_id", "text", "lang").join(F.broadcast(counts), "lang").where(F.col("h") <= share * float(1 << 53))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    chosen = drawn.withColumn("rank", rank).where(F.col("rank") <= quota)
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("used", pa.binary()), ("times", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for h, doc_id, lang, text in arrow_rows(batches, "h", "doc_id", "lang", "text"):
+                if has_letter(text):
+                    for k, part in enumerate([text, *excerpts(text)]):
+                        used, times = counted(part, buckets)
+                        yield h, doc_id, lang, k, used.astype("<u4").tobytes(), times.astype("<i8").tobytes()
+
+        yield from arrow_batches(rows(), schema, 64)
+
+    found = chosen.select("h", "doc_id", "lang", "text").mapInArrow(run, "h long, doc_id long, lang string, part int, used binary, times binary").collect()
+    samples, last = [], None
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["part"], r["used"], r["times"])):
+        if r["part"] == 0 or (r["lang"], r["doc_id"]) != last:
+            samples.append((r["lang"], []))
+        last = (r["lang"], r["doc_id"])
+        samples[-1][1].append((np.frombuffer(r["used"], "<u4"), np.frombuffer(r["times"], "<i8")))
+    return train(samples, buckets)
+
+
+def _predictions(batch: pa.RecordBatch, model: Model, at_once: int = 256) -> Iterator[tuple[int, list[tuple[str, float]]]]:
+    """(first row, predictions) of a batch's texts, some rows at a time."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    for start in range(0, batch.num_rows, at_once):
+        yield start, model.predict_all(column.slice(start, at_once).to_pylist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,38 +280,41 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is a learned language, or ``und`` with score 0 where text is null or has no letter. A row is
     rejected if it is ``und`` or its score is below the model's threshold. Nothing but the text is read;
-    repeated rows get equal results; an empty table gives no rows. The model is bounded by its buckets and languages.
+    repeated rows get equal results; very long texts are taken in parts; an empty table gives no rows. The model is bounded by its
+    buckets and languages.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for doc_id, text in arrow_rows(batches, "doc_id", "text"):
-                lang, score = model.predict(text)
-                yield doc_id, lang, score, lang == "und" or score < model.threshold
-
-        yield from arrow_batches(rows(), schema)
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for start, found in _predictions(batch, model):
+                columns = [k for k, _ in found], [x for _, x in found], [not model.accepts(k, x) for k, x in found]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(found)), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected); held_out is false where doc_id is null."""
+    """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs`` (doc_id, text, lang), as ``fit`` and ``identify`` say.
+
+    held_out is false where doc_id is null. A table without labelled rows gives ``und`` throughout.
+    """
     found = identify(docs, fit(docs))
-    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that identification does not reject, with all their columns, in one pass."""
+    """The rows of ``docs`` (doc_id, text, lang) that identification does not reject, with all their columns, in one pass.
+
+    Null texts, and those without a letter, are rejected, however many columns they fill; equal rows are all kept or all
+    rejected; very long texts are judged whole; an empty table gives no rows, and one without labelled rows keeps none.
+    """
     model, schema = fit(docs), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = []
-            for text in texts:
-                lang, score = model.predict(text)
-                keep.append(lang != "und" and score >= model.threshold)
+            keep = [model.accepts(k, x) for _, found in _predictions(batch, model) for k, x in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
