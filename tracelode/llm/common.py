@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,21 +34,56 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+_folders: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder, its lineage cut; smaller on disk than a checkpoint of wide rows."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted as the driver's JVM ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _folders:
+        folder = f"{shared_folder(spark)}/tracelode-{name}-{uuid.uuid4().hex[:8]}"
+        place, files = _path(spark, folder)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _folders[name] = folder
+    return _folders[name]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, files = _path(spark, path)
+    files.delete(place, True)
+
+
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """``df`` as a compressed table in the shared folder, its lineage cut: no lost executor makes it anew.
+
+    Tables go with the application, or as the ``scratch`` around them ends. Spark takes a table's size for its files', so what is
+    made of few of its bytes (exploded ranges) needs a join hint.
+    """
+    path = f"{own_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables stored within as it ends; what reads them has to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two 64-bit hashes that name a row by its values; equal rows share it, nulls take part."""
     values = [F.col(c) for c in columns]
@@ -65,7 +101,7 @@ def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], *columns: str) ->
     ``FREQUENT`` of them whatever the size, are broadcast; all others meet by shuffle. ``rows`` is read up to three times, so it should be stored.
     """
     most = rows.count() // FREQUENT + 1000
-    few = checkpointed(keys.where(F.col("rows") > most).select(*on, *columns))
+    few = stored(keys.where(F.col("rows") > most).select(*on, *columns))
     rest = keys.where(F.col("rows") <= most).select(*on, *columns)
     how = "inner" if columns else "left_semi"
     if few.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -30,13 +30,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Rounds grow with the logarithm of a component's size. A node with very many edges is first reduced
     map-side to its least partner, and the join back can be split by skew handling. Pairs of a node with
-    itself and nulls are left out; no pairs give no rows. Lineage is cut once a round.
+    itself and nulls are left out; no pairs give no rows. Pairs are written once a round, which cuts lineage.
     """
-    edges = checkpointed(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = stored(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before, edges = now, checkpointed(_small_star(_large_star(edges)))
+        before, edges = now, stored(_small_star(_large_star(edges)))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

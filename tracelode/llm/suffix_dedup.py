@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_rows, checkpointed, row_key, stored, with_keys
+from .common import arrow_batches, arrow_rows, row_key, stored, with_keys
 
 #: Windows whose anchors are found at a time.
 SEGMENT = 1 << 15
@@ -407,8 +407,8 @@ def _solve(pieces: DataFrame, width: int, most_pieces: int, blocks: tuple[int, .
     if not blocks or many.isEmpty():
         return found
     split = many.dropDuplicates(["h", "a", "b"]).select("h", "a", "b", "lead", "copies", "piece").mapInArrow(_split(width, blocks[0]), PARTS_SQL)
-    split = checkpointed(split)
-    different = checkpointed(split.groupBy("h", "a", "b").agg(F.first("lead").alias("lead"), F.sum("copies").alias("copies"), F.first("piece").alias("piece")))
+    split = stored(split)
+    different = stored(split.groupBy("h", "a", "b").agg(F.first("lead").alias("lead"), F.sum("copies").alias("copies"), F.first("piece").alias("piece")))
     windows = F.octet_length("piece") - width + 1
     copied = different.where("copies > 1").select("a", "b", F.lit(0).alias("s"), windows.cast("int").alias("e"))
     number = different.groupBy("h").agg(F.count("*").alias("rows"))
@@ -449,7 +449,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, k: int = 32, most_pieces: in
     several = different.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
     asked = with_keys(different, several, ["h"])
     asked = asked.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "a", "b", "at", "n", "lead", "copies")).alias("asked"))
-    pieces = stored(keyed.select("key_a", "key_b", "text").join(asked, ["key_a", "key_b"]).select("text", "asked").mapInArrow(_cut(width), PIECES_SQL))
+    pieces = stored(keyed.select("key_a", "key_b", "text").join(asked, ["key_a", "key_b"]).select("text", "asked").mapInArrow(_cut(width), PIECES_SQL), "zstd")
     likely = _promising(pieces, width, max(1, (width - k + 4) // 4))
     runs = stored(copied.unionByName(_solve(likely, width, most_pieces, (16, 1))))
     repeats = different.groupBy("a", "b").agg(F.sum("copies").alias("rows"))
