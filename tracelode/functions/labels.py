@@ -224,3 +224,9 @@ def file_class(path: Column) -> dict[str, Column]:
 
 def is_entry_name(name: Column, path: Column, exported: Column) -> Column:
     return name.isin(*ENTRY_NAMES) | (exported & path.rlike(ENTRY_FILE))
+
+
+def parameter_flow(caller: Column, callee: Column, parameters: Column) -> Column:
+    """What a call's parameters say: from the caller to the callee; null for a call without any."""
+    flow = F.struct(F.array(caller).alias("from"), F.array(callee).alias("to"), F.lit("parameter_passing").alias("type"))
+    return F.when(F.size(F.coalesce(parameters, F.array())) > 0, flow)

@@ -164,7 +164,7 @@ def ai_bundle(graph: PropertyGraph, project: dict[str, Any], query: dict[str, An
         "entryPoints": [r["n"] for r in _rows(entries)],
         "coreModules": [r["full_name"] or r["name"] for r in _rows(core_modules(chosen))],
         "keySymbols": _rows(key_symbols(chosen).select("id", "name", "importance")),
-        "cycles": [r["cycle"].split(">") for r in _rows(cycles(ring, 3))],
+        "cycles": [r["cycle"].split(">") for r in _rows(cycles(ring))],
         "unresolvedCount": chosen.unresolved().count(),
     }
     out["ranking"] = _rows(chosen.importance().orderBy(F.desc("importance"), "id").limit(50))

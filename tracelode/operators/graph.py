@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import rounded
+from .components import checkpointed
 
 #: Fixed values. Types that count as symbols of interest, and their order in exports.
 IMPORTANT_TYPES = ["project", "file", "class", "function", "method", "route"]
@@ -21,11 +22,14 @@ SUMMARY_TYPES = ["class", "function", "method", "route", "config"]
 class PropertyGraph:
     """``nodes`` (id, type, name, full_name, file_path, summary, is_exported), ``edges`` (id, type, from_id, to_id, resolved).
 
-    Neither is held in memory; every method is a plan. Order is by id wherever the rules leave it open.
+    Neither is held in memory; every method is a plan. Order is by id wherever the rules leave it open. ``closed`` says that
+    every edge's ends are nodes; ``reverse`` are the same edges, stored by target.
     """
 
     nodes: DataFrame
     edges: DataFrame
+    closed: bool = False
+    reverse: DataFrame | None = None
 
     # lookups
 
@@ -36,7 +40,7 @@ class PropertyGraph:
         return self.edges.where(F.col("from_id") == node_id)
 
     def incoming(self, node_id: str) -> DataFrame:
-        return self.edges.where(F.col("to_id") == node_id)
+        return (self.edges if self.reverse is None else self.reverse).where(F.col("to_id") == node_id)
 
     def edges_of(self, *types: str) -> DataFrame:
         return self.edges.where(F.col("type").isin(*types))
@@ -139,7 +143,7 @@ class PropertyGraph:
 
     def importance(self) -> DataFrame:
         """(id, importance): weighted degrees of the induced edges, a type's and an entry point's bonus, at most 1."""
-        inner = PropertyGraph(self.nodes, self.induced(self.nodes)).degrees()
+        inner = self.degrees() if self.closed else PropertyGraph(self.nodes, self.induced(self.nodes)).degrees()
         entries = self.edges_of("ENTRY_POINT").select(F.col("to_id").alias("id")).distinct().withColumn("entry", F.lit(True))
         size = self.nodes.agg(F.greatest(F.lit(1.0), F.count("*") * F.lit(0.1)).alias("size"))
         raw = (F.col("in_degree") * 1.5 + F.col("out_degree")) / F.col("size")
@@ -160,18 +164,28 @@ class PropertyGraph:
         return d.crossJoin(most).select("id", rounded(raw / F.col("most"), 6).alias("importance"))
 
     def hubs(self, count: int = 25) -> DataFrame:
-        """The nodes of largest degree."""
-        return self.with_degrees().orderBy(F.desc("degree"), "name", "id").limit(count)
+        """The nodes of largest degree; only those that can be among them meet their names."""
+        d = self.degrees()
+        least = d.select("degree").orderBy(F.desc("degree")).limit(count).agg(F.min("degree").alias("least"))
+        few = d.crossJoin(F.broadcast(least)).where(F.col("degree") >= F.col("least")).drop("least")
+        return self.nodes.join(few, "id").orderBy(F.desc("degree"), "name", "id").limit(count)
 
-    def directory_groups(self, directory: Column, count: int = 30, shown: int = 50) -> DataFrame:
-        """The largest groups of nodes by directory, each with its first ids; sizes are whole counts.
+    def directory_groups(self, directory: Column, count: int = 30, at_once: int = 10_000) -> DataFrame:
+        """(directory, size, part, members): the largest groups of nodes by directory, with all their ids in order.
 
-        Ids are ranked within the group and cut before they are collected, so no row grows with its group.
+        A group's ids come in parts of up to ``at_once``, so that no row grows with its group; ids are ranked over ranges of
+        a directory's ids that have about as many, not in one task.
         """
         placed = self.nodes.select("id", directory.alias("directory"))
         sizes = placed.groupBy("directory").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "directory").limit(count)
-        ranked = placed.join(sizes, "directory").withColumn("rank", F.row_number().over(Window.partitionBy("directory").orderBy("id"))).where(F.col("rank") <= shown)
-        return ranked.groupBy("directory", "size").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
+        few = placed.join(F.broadcast(sizes), "directory")  # one row a directory, ``count`` at most
+        ordered = few.repartitionByRange("directory", "id").sortWithinPartitions("directory", "id").withColumn("task", F.spark_partition_id())
+        ordered = checkpointed(ordered)
+        held = ordered.groupBy("directory", "task").agg(F.count("*").alias("n"))
+        before = held.withColumn("before", F.sum("n").over(Window.partitionBy("directory").orderBy("task")) - F.col("n")).drop("n")
+        rank = F.row_number().over(Window.partitionBy("directory", "task").orderBy("id")) + F.col("before") - 1
+        ranked = ordered.join(F.broadcast(before), ["directory", "task"]).withColumn("part", F.floor(rank / at_once).cast("int"))
+        return ranked.groupBy("directory", "size", "part").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
 
 
 def by_type(df: DataFrame) -> DataFrame:

@@ -159,25 +159,42 @@ def all_shortest_paths(edges: DataFrame, source: str, target: str, most: int = 5
     return paths.select("path").orderBy("path").limit(most)
 
 
-def cycles(edges: DataFrame, most_length: int, most: int = 25, by_nodes: bool = True) -> DataFrame:
+def cycles(edges: DataFrame, most_length: int = 12, most: int = 25, by_nodes: bool = True, paths_at_once: int = 2_000_000) -> DataFrame:
     """(length, cycle): simple cycles up to ``most_length`` edges, from their least node on, the shortest first.
 
-    With ``by_nodes`` one for each set of nodes is kept, the first in order. Paths only go on over nodes greater
-    than the start, so every cycle is found once; edges between different components were pruned by their callers.
+    With ``by_nodes`` one for each set of nodes is kept, the first in order. Only edges inside one strong component lie on a cycle, so
+    the others are left out first. Paths only go on over nodes greater than the start, so every
+    cycle is found once. Lengths are taken in turn and end as soon as ``most`` are found: shorter ones come first
+    in the result. A graph whose paths of one length are more than ``paths_at_once`` is refused: take a neighbourhood, or fewer lengths.
     """
+    from .analytics import strong_components
+
     steps = checkpointed(forward(edges).distinct())
-    paths = steps.where("u < v").select(F.col("u").alias("start"), F.col("v").alias("at"), F.array("u", "v").alias("path"))
-    closed = steps.where("u = v").select(F.lit(1).alias("length"), F.array("u").alias("path"))
+    loops = steps.where("u = v")
+    inner = steps.where("u <> v")
+    parts = strong_components(inner.select(F.explode(F.array("u", "v")).alias("id")).distinct(), inner.select(F.col("u").alias("from_id"), F.col("v").alias("to_id")))
+    a, b = parts.select(F.col("id").alias("u"), F.col("component").alias("of_u")), parts.select(F.col("id").alias("v"), F.col("component").alias("of_v"))
+    steps = checkpointed(inner.join(a, "u").join(b, "v").where("of_u = of_v").select("u", "v"))
+    paths = checkpointed(steps.where("u < v").select(F.col("u").alias("start"), F.col("v").alias("at"), F.array("u", "v").alias("path")))
+    closed = checkpointed(loops.select(F.lit(1).alias("length"), F.array("u").alias("path")))
     for length in range(2, most_length + 1):
         back = paths.join(steps, (F.col("at") == F.col("u")) & (F.col("start") == F.col("v")))
-        closed = closed.union(back.select(F.lit(length).alias("length"), "path"))
-        if length < most_length:
-            on = paths.join(steps, F.col("at") == F.col("u")).where((F.col("v") > F.col("start")) & ~F.array_contains("path", F.col("v")))
-            paths = on.select("start", F.col("v").alias("at"), F.array_append("path", F.col("v")).alias("path"))
+        closed = checkpointed(closed.union(back.select(F.lit(length).alias("length"), "path")))
+        if length == most_length or _named(closed, by_nodes).limit(most).count() == most or paths.isEmpty():
+            break
+        on = paths.join(steps, F.col("at") == F.col("u")).where((F.col("v") > F.col("start")) & ~F.array_contains("path", F.col("v")))
+        paths = on.select("start", F.col("v").alias("at"), F.array_append("path", F.col("v")).alias("path"))
+        if paths.limit(paths_at_once + 1).count() > paths_at_once:
+            raise ValueError(f"more than {paths_at_once} paths of {length} edges; choose a neighbourhood or a smaller length")
+        paths = checkpointed(paths)
+    return _named(closed, by_nodes).orderBy("length", "cycle").limit(most)
+
+
+def _named(closed: DataFrame, by_nodes: bool) -> DataFrame:
     named = closed.select("length", F.array_join("path", ">").alias("cycle"), F.array_join(F.array_sort("path"), ",").alias("nodes"))
     if by_nodes:
         named = named.groupBy("nodes").agg(F.min(F.struct("length", "cycle")).alias("x")).select("x.length", "x.cycle")
-    return named.select("length", "cycle").orderBy("length", "cycle").limit(most)
+    return named.select("length", "cycle")
 
 
 def call_chains(starts: DataFrame, calls: DataFrame, most_nodes: int = 5, fan_out: int = 6, most: int = 20) -> DataFrame:

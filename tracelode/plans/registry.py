@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import PropertyGraph
-from ..sources import bindings
+from ..sources import bindings, store
 from ..sources.tables import on_duckdb, on_spark, read
 
 #: Relations that the SQL beside a query may name; each is given as a common table where it is used.
@@ -50,7 +50,8 @@ class Data:
 
     @cached_property
     def graph(self) -> PropertyGraph:
-        return PropertyGraph(self.bound("nodes"), self.bound("edges"))
+        """The folder's graph, stored the first time that a query of the application asks for it."""
+        return store.indexed(self.spark, self.sf_dir, lambda: (self.bound("nodes"), self.bound("edges")))
 
     @cached_property
     def trade(self) -> PropertyGraph:
@@ -100,5 +101,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    for module in ("relations", "ranking", "walks", "names", "labels", "sources"):
+    for module in ("relations", "ranking", "walks", "names", "labels", "sources", "indexing"):
         importlib.import_module(f"{__package__}.{module}")

@@ -342,7 +342,7 @@ def unresolved_count(d: Data) -> DataFrame:
     """WITH placed AS (SELECT id, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END AS directory FROM nodes),
     sizes AS (SELECT directory, count(*) AS size FROM placed GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30),
     ranked AS (SELECT p.directory, size, id, row_number() OVER (PARTITION BY p.directory ORDER BY id) AS r FROM placed p JOIN sizes s ON p.directory = s.directory)
-    SELECT directory, size, string_agg(id, ',' ORDER BY id) AS members FROM ranked WHERE r <= 50 GROUP BY 1, 2""",
+    SELECT directory, size, CAST((r - 1) // 10000 AS INTEGER) AS part, string_agg(id, ',' ORDER BY id) AS members FROM ranked GROUP BY 1, 2, 3""",
 )
 def dir_communities(d: Data) -> DataFrame:
     return d.graph.directory_groups(paths.dirname(F.col("file_path")))
@@ -372,11 +372,11 @@ def evidence_spans(d: Data) -> DataFrame:
     return export.evidence(d.bound("spans"))
 
 
-@query("project_counters", "SELECT (SELECT count(*) FROM nodes WHERE type = 'file') AS file_count, (SELECT count(*) FROM nodes WHERE type NOT IN ('file', 'project')) AS symbol_count, (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT n.name FROM nodes n JOIN edges e ON n.id = e.to_id AND e.type = 'ENTRY_POINT' ORDER BY 1 LIMIT 50)) AS entry_points")
+@query("project_counters", "SELECT (SELECT count(*) FROM nodes WHERE type = 'file') AS file_count, (SELECT count(*) FROM nodes WHERE type NOT IN ('file', 'project')) AS symbol_count, (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT n.name FROM nodes n JOIN edges e ON n.id = e.to_id AND e.type = 'ENTRY_POINT' GROUP BY n.id, n.name)) AS entry_points")
 def project_counters(d: Data) -> DataFrame:
     counts = d.graph.nodes.agg(F.count_if(F.col("type") == "file").alias("file_count"), F.count_if(~F.col("type").isin("file", "project")).alias("symbol_count"))
-    first = d.graph.entry_points().select("name").orderBy("name").limit(50)
-    return counts.crossJoin(first.agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("entry_points")))
+    every = d.graph.entry_points().select("name")
+    return counts.crossJoin(every.agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("entry_points")))
 
 
 @query("density", "SELECT node_count, pair_count, pair_count / (node_count::DOUBLE * (node_count - 1)) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM (SELECT DISTINCT from_id, to_id FROM edges)) AS pair_count)")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.labels import CONFIG_FILE, ENTRY_FILE, TEST_FILE
+
 TOKEN = re.compile(
     r"(?P<doc>/\*\*(?!/).*?\*/)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<space>\s+)|(?P<template>`(?:\\.|[^`\\])*`)|(?P<text>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')"
     r"|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$][\w$]*)|(?P<sign>=>|\?\.|\.\.\.|[{}()\[\];,.<>=:?!@&|+\-*/%^~#\\])|(?P<other>.)",
@@ -25,10 +27,8 @@ IGNORED_CALLS = {"describe", "it", "test", "expect", "require"}
 NOT_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "constructor", "void", "delete", "in", "of", "new"}
 MODIFIERS = {"public", "private", "protected", "static", "async", "readonly", "abstract", "override", "declare", "get", "set"}
 ENTRY_NAMES = {"main", "handler", "bootstrap", "start", "run", "default"}
-_TEST_FILE = re.compile(r"(^|/)__tests__/|(\.|-)(test|spec)\.[jt]sx?$")
-_CONFIG_FILE = re.compile(r"(?:^|/)(?:.+\.)?(config|settings)\.[jt]sx?$")
-_ENTRY_FILE = re.compile(r"(?:^|/)(index|main|app|server|cli)\.[jt]sx?$")
-COLUMNS = "path string, record string, kind string, name string, owner string, detail string, line int, col int, exported boolean, error string"
+_TEST_FILE, _CONFIG_FILE, _ENTRY_FILE = re.compile(TEST_FILE), re.compile(CONFIG_FILE), re.compile(ENTRY_FILE)
+COLUMNS = "path string, record string, kind string, name string, owner string, detail string, line int, col int, exported boolean, end_line int, end_col int, text string, error string"
 
 
 @dataclass
@@ -37,6 +37,11 @@ class Token:
     text: str
     line: int
     col: int
+    start: int = 0
+
+    @property
+    def end(self) -> int:
+        return self.start + len(self.text)
 
 
 def tokens(source: str) -> list[Token]:
@@ -44,7 +49,7 @@ def tokens(source: str) -> list[Token]:
     for m in TOKEN.finditer(source):
         kind = m.lastgroup or "other"
         if kind not in ("space", "comment"):
-            out.append(Token(kind, m[0], line, m.start() - start + 1))
+            out.append(Token(kind, m[0], line, m.start() - start + 1, m.start()))
         breaks = m[0].count("\n")
         if breaks:
             line, start = line + breaks, m.start() + m[0].rindex("\n") + 1
@@ -52,10 +57,14 @@ def tokens(source: str) -> list[Token]:
 
 
 class _Reader:
-    """One pass over a file's tokens; ``rows`` are (record, kind, name, owner, detail, line, col, exported)."""
+    """One pass over a file's tokens; ``rows`` are (record, kind, name, owner, detail, line, col, exported).
+
+    ``spans`` has the first and last token of each row; what a statement or a class's member adds without an end of its own ends with it.
+    """
 
     def __init__(self, path: str, source: str):
-        self.path, self.all, self.rows = path.replace("\\", "/"), tokens(source), []
+        self.path, self.source, self.all, self.rows = path.replace("\\", "/"), source, tokens(source), []
+        self.spans: list[list[int | None]] = []
         self.docs = {id(self.all[i + 1]): t for i, t in enumerate(self.all[:-1]) if t.kind == "doc"}
         self.t = [t for t in self.all if t.kind != "doc"]
         self.is_test, self.is_config = bool(_TEST_FILE.search(self.path)), bool(_CONFIG_FILE.search(self.path))
@@ -77,12 +86,29 @@ class _Reader:
     def is_name(self, i: int) -> bool:
         return 0 <= i < len(self.t) and self.t[i].kind == "name"
 
-    def add(self, record: str, kind: str, name: str, i: int, owner: str = "", detail: str = "", exported: bool = False) -> None:
+    def add(self, record: str, kind: str, name: str, i: int, owner: str = "", detail: str = "", exported: bool = False, end: int | None = None) -> None:
         t = self.t[min(i, len(self.t) - 1)]
         key = (record, kind, name, owner, t.line, t.col, detail if record != "symbol" else "")
         if key not in self.seen:
             self.seen.add(key)
             self.rows.append((record, kind, name, owner, detail, t.line, t.col, exported))
+            self.spans.append([min(i, len(self.t) - 1), end])
+
+    def close(self, since: int, end: int) -> None:
+        """Rows from ``since`` on that have no end yet end before token ``end``."""
+        for span in self.spans[since:]:
+            if span[1] is None:
+                span[1] = max(span[0], min(end, len(self.t)) - 1)
+
+    def placed(self) -> list[tuple]:
+        """The rows with their last line, the column after it, and the text between."""
+        out = []
+        for row, (first, last) in zip(self.rows, self.spans, strict=True):
+            a, b = self.t[first], self.t[last if last is not None else first]
+            breaks = b.text.count("\n")
+            col = len(b.text) - b.text.rindex("\n") if breaks else b.col + len(b.text)
+            out.append((*row, b.line + breaks, col, self.source[a.start : b.end]))
+        return out
 
     def symbol(self, kind: str, name: str, i: int, owner: str = "", detail: str = "", exported: bool = False, default: bool = False) -> None:
         self.add("symbol", kind, name, i, owner, detail, exported)
@@ -134,7 +160,7 @@ class _Reader:
                     j = k + 1 if self.at(k + 1) == "(" else j
                 last = name.split(".")[-1]
                 if self.at(j) == "(" and name not in NOT_CALLS and self.at(i - 1) != "function" and (new or last not in IGNORED_CALLS):
-                    self.add("call", "new" if new else "call", last, i, owner=f"{owner}.{caller}" if owner else caller, detail=name)
+                    self.add("call", "new" if new else "call", last, i, owner=f"{owner}.{caller}" if owner else caller, detail=name, end=self.match.get(j, j))
                 i = max(i + 1, j)
             else:
                 i += 1
@@ -144,12 +170,13 @@ class _Reader:
         while i < len(self.t):
             text = self.at(i)
             if depth == 0:
-                i = self.statement(i)
+                since, i = len(self.rows), self.statement(i)
+                self.close(since, i)
                 continue
             depth += (text == "{") - (text == "}")
             i += 1
         self.anywhere()
-        return self.rows
+        return self.placed()
 
     def anywhere(self) -> None:
         """What counts at any depth: environment variables, routes, tests, configuration calls."""
@@ -157,8 +184,10 @@ class _Reader:
             if self.at(i) == "process" and self.at(i + 1) == "." and self.at(i + 2) == "env":
                 if self.at(i + 3) == "." and self.is_name(i + 4):
                     self.symbol("config", f"env:{self.at(i + 4)}", i)
+                    self.close(len(self.rows) - 1, i + 5)
                 elif self.at(i + 3) == "[" and i + 4 < len(self.t) and self.t[i + 4].kind == "text":
                     self.symbol("config", f"env:{self.at(i + 4)[1:-1]}", i)
+                    self.close(len(self.rows) - 1, i + 6)
             if not self.is_name(i) or self.at(i - 1) in (".", "?."):
                 continue
             if self.at(i) in ROUTE_OBJECTS and self.at(i + 1) == "." and self.at(i + 2) in ROUTE_VERBS and self.at(i + 3) == "(" and i + 4 < len(self.t) and self.t[i + 4].kind == "text":
@@ -168,14 +197,20 @@ class _Reader:
                         handler = self.at(j) if self.at(j - 1) == "," else handler
                         break
                 name = f"{self.at(i + 2).upper()} {self.at(i + 4)[1:-1]}"
+                since = len(self.rows)
                 self.symbol("route", name, i, detail=handler)
                 self.add("entry", "route", name, i)
+                self.close(since, end + 1)
             if self.is_test and self.at(i) in TEST_CALLS and self.at(i + 1) == "(" and i + 2 < len(self.t) and self.t[i + 2].kind in ("text", "template"):
+                since = len(self.rows)
                 self.symbol("test", f"{self.at(i)}:{self.at(i + 2)[1:-1]}", i)
+                self.close(since, self.match.get(i + 1, i + 2) + 1)
             name, j = self.dotted(i)
             if self.at(j) == "(" and name in ("dotenv.config", "config.get"):
                 label = self.at(j + 1)[1:-1] if j + 1 < len(self.t) and self.t[j + 1].kind == "text" else ""
+                since = len(self.rows)
                 self.symbol("config", f"config:{name}" + (f":{label}" if label else ""), i)
+                self.close(since, self.match.get(j, j) + 1)
 
     def statement(self, i: int) -> int:
         """Reads a top-level statement and gives the place after it."""
@@ -333,12 +368,14 @@ class _Reader:
                 method, j = ("#" + self.at(j + 1), j + 1) if hidden else (self.at(j), j)
                 block = self.body(j + 1)
                 inside = block is not None and block < end
+                since = len(self.rows)
                 if method != "constructor":
                     self.symbol("method", method, start, owner=name)
                     self.doc(start, f"{name}.{method}")
                     if inside:
                         self.calls(block, self.match.get(block, end), method, name)
                 j = self.match.get(block, end) + 1 if inside else self.skip(j)
+                self.close(since, j)
             else:
                 j = self.member(j, end)
         return end + 1
@@ -414,7 +451,7 @@ def parse_source(path: str, content: str | None) -> list[tuple]:
     try:
         return [(path, *row, None) for row in _Reader(path, content or "").read()]
     except Exception as e:  # a single bad file must not end the scan
-        return [(path, "error", "", "", "", "", 0, 0, False, f"{type(e).__name__}: {e}")]
+        return [(path, "error", "", "", "", "", 0, 0, False, 0, 0, "", f"{type(e).__name__}: {e}")]
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -424,6 +461,6 @@ def parse(files: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for frame in frames:
             rows = [r for path, content in zip(frame["path"], frame["content"], strict=True) for r in parse_source(path, content)]
-            yield pd.DataFrame(rows, columns=names).astype({"line": "int32", "col": "int32", "exported": bool})
+            yield pd.DataFrame(rows, columns=names).astype({"line": "int32", "col": "int32", "exported": bool, "end_line": "int32", "end_col": "int32"})
 
     return files.select("path", "content").mapInPandas(run, COLUMNS)
