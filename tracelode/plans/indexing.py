@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index as indexer
 from ..operators.components import shared_folder
+from ..operators.endpoints import Endpoints
 from ..sources import files as sources
 from ..sources.store import SCHEMAS, Store
 from .registry import Data, query
@@ -132,6 +133,16 @@ def stored_ranking(d: Data) -> DataFrame:
     return again.select("node_id", "algorithm", F.col("components")["centrality"].alias("centrality"))
 
 
+@query("endpoint_node", "WITH w AS (SELECT 'outgoing' AS direction, type, id, to_id AS other FROM edges WHERE from_id = 'c7' UNION ALL SELECT 'incoming', type, id, from_id FROM edges WHERE to_id = 'c7') SELECT 'summary' AS part, direction, type AS name, count(*) AS n FROM w GROUP BY 2, 3 UNION ALL SELECT 'relations', direction, name, count(*) FROM w JOIN nodes ON nodes.id = other GROUP BY 2, 3 UNION ALL SELECT 'node', 'c7', (SELECT name FROM nodes WHERE id = 'c7'), (SELECT count(*) FROM w)")
+def endpoint_node(d: Data) -> DataFrame:
+    """A node's payload: itself with its degree, its edges by type, and what they lead to."""
+    parts = Endpoints(d.graph).node("c7")
+    node = parts["node"].select(F.lit("node").alias("part"), F.col("id").alias("direction"), "name", F.col("degree").alias("n"))
+    summary = parts["summary"].select(F.lit("summary").alias("part"), "direction", F.col("edge_type").alias("name"), "n")
+    relations = parts["relations"].groupBy("direction", "other_name").agg(F.count("*").alias("n"))
+    return node.union(summary).union(relations.select(F.lit("relations"), "direction", "other_name", "n"))
+
+
 @query("parameter_flow", "SELECT e.id, a.name AS from_name, b.name AS to_name, 'parameter_passing' AS type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE e.type = 'CALLS' AND length(e.to_id) % 2 = 0")
 def parameter_flow(d: Data) -> DataFrame:
     """From which caller to which callee parameters pass, for calls whose metadata lists some."""

@@ -121,6 +121,62 @@ def call_chains(d: Data) -> DataFrame:
     return traverse.call_chains(d.spark.createDataFrame([("n0",)], "id string"), d.trade.edges)
 
 
+# the same walks over the whole graph, which grows with the data
+
+
+@query(
+    "find_path_full",
+    """WITH RECURSIVE w AS (SELECT 'f10' AS here, ['f10'] AS path, CAST([] AS VARCHAR[]) AS via, 0 AS n UNION ALL
+      SELECT e.from_id, list_prepend(e.from_id, w.path), list_prepend(e.id, w.via), w.n + 1 FROM w JOIN edges e ON e.to_id = w.here WHERE w.n < 5 AND NOT list_contains(w.path, e.from_id)),
+    best AS (SELECT path, via, n FROM w WHERE here = 'p' ORDER BY n, via LIMIT 1) SELECT CAST(i - 1 AS INTEGER) AS step, path[i] AS id FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM best)""",
+)
+def find_path_full(d: Data) -> DataFrame:
+    return traverse.find_path(d.graph, "p", "f10")
+
+
+FULL_REACH = "WITH RECURSIVE r AS (SELECT '{0}' AS id, 0 AS distance UNION SELECT e.{1}, r.distance + 1 FROM r JOIN edges e ON e.{2} = r.id AND e.type IN ('OWNS', 'DEFINES', 'CALLS', 'CALLS_UNRESOLVED', 'USES') WHERE r.distance < 9), m AS (SELECT id, min(distance) AS distance FROM r GROUP BY 1) SELECT id, distance, distance = 1 AS direct FROM m WHERE distance > 0"
+
+
+@query("dependencies_full", FULL_REACH.format("n4", "to_id", "from_id"))
+def dependencies_full(d: Data) -> DataFrame:
+    return traverse.closure(d.graph.edges_of("OWNS", "DEFINES", "CALLS", "CALLS_UNRESOLVED", "USES"), "n4")
+
+
+@query("dependents_full", FULL_REACH.format("f3", "from_id", "to_id"))
+def dependents_full(d: Data) -> DataFrame:
+    return traverse.closure(d.graph.edges_of("OWNS", "DEFINES", "CALLS", "CALLS_UNRESOLVED", "USES"), "f3", reverse=True)
+
+
+#: Who buys in whose country: a cyclic graph whose nodes are customers and suppliers, as many as the data has.
+ROUNDS = """SELECT DISTINCT concat('c', o_custkey) AS from_id, concat('s', l_suppkey) AS to_id FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity > 40
+    UNION SELECT concat('s', s_suppkey), concat('c', c_custkey) FROM {supplier} JOIN {customer} ON s_nationkey = c_nationkey AND s_acctbal > 0 AND c_acctbal > 8000"""
+
+
+def _rounds(d: Data) -> traverse.PropertyGraph:
+    from ..sources.tables import on_spark
+
+    edges = on_spark(d.spark, d.sf_dir, ROUNDS).select(F.concat_ws(":", "from_id", "to_id").alias("id"), F.lit("TRADES").alias("type"), "from_id", "to_id", F.lit(True).alias("resolved"))
+    return traverse.PropertyGraph(edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct(), edges)
+
+
+@query("scc_sizes")
+def scc_sizes(d: Data) -> DataFrame:
+    """Sizes of the strong components of that graph, and how many there are of each."""
+    from ..operators.analytics import strong_components
+
+    g = _rounds(d)
+    return strong_components(g.nodes, g.edges).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@query("betweenness_rounds")
+def betweenness_rounds(d: Data) -> DataFrame:
+    """The nodes of that graph through which most shortest paths lead."""
+    from ..operators.analytics import betweenness
+
+    g = _rounds(d)
+    return betweenness(g.nodes, g.edges).orderBy(F.desc("betweenness"), "id").limit(50)
+
+
 # search
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.labels import CONFIG_FILE, ENTRY_FILE, TEST_FILE
+from ..functions.labels import CONFIG_FILE, ENTRY_FILE, ENTRY_NAMES, TEST_FILE
 
 TOKEN = re.compile(
     r"(?P<doc>/\*\*(?!/).*?\*/)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<space>\s+)|(?P<template>`(?:\\.|[^`\\])*`)|(?P<text>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')"
@@ -26,7 +26,6 @@ TEST_CALLS = {"describe", "it", "test"}
 IGNORED_CALLS = {"describe", "it", "test", "expect", "require"}
 NOT_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "constructor", "void", "delete", "in", "of", "new"}
 MODIFIERS = {"public", "private", "protected", "static", "async", "readonly", "abstract", "override", "declare", "get", "set"}
-ENTRY_NAMES = {"main", "handler", "bootstrap", "start", "run", "default"}
 _TEST_FILE, _CONFIG_FILE, _ENTRY_FILE = re.compile(TEST_FILE), re.compile(CONFIG_FILE), re.compile(ENTRY_FILE)
 COLUMNS = "path string, record string, kind string, name string, owner string, detail string, line int, col int, exported boolean, end_line int, end_col int, text string, error string"
 

@@ -23,7 +23,7 @@ class Latest(StatefulProcessor):
         best = self.state.get() if self.state.exists() else None
         before = best
         for frame in rows:
-            top = frame.sort_values(["ts", "event_id"]).iloc[-1]
+            top = frame.nlargest(1, ["ts", "event_id"]).iloc[0]
             mine = (top["ts"].to_pydatetime(), int(top["event_id"]), float(top["value"]))
             if best is None or mine[:2] > tuple(best)[:2]:
                 best = mine
@@ -40,6 +40,21 @@ def latest_changes(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts", "event_id", "value").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Latest(), outputStructType="user_id long, event_id long, value double, change string", outputMode="Update", timeMode="None")
 
 
+def write_changes(stream: DataFrame, rows: str, offsets: str) -> None:
+    """Runs ``latest_changes`` over what a stream has now, and adds its changes to the table at ``rows`` with their batch.
+
+    State is held in RocksDB beside the offsets, so it is neither bound by memory nor lost with an executor.
+    """
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = stream.sparkSession.conf.get(name)
+    stream.sparkSession.conf.set(name, store)
+    try:
+        keep = lambda batch, number: batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(rows)
+        latest_changes(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        stream.sparkSession.conf.set(name, before)
+
+
 def latest_values(events: DataFrame) -> DataFrame:
     """The same last values from a bounded table: one map-side combined maximum per key."""
     best = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
