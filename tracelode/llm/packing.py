@@ -192,8 +192,8 @@ def pack(docs: DataFrame, window: int = 4096, tokenizer: str = "word_bpe_49k.jso
     the order in which their partition has them, and are cut into sequences of at most ``window`` tokens; each
     id lies in one piece, and a sequence's pieces are gapless from offset 0. Cuts minimise padding plus
     ``sentence_cost`` or ``free_cost`` where a document is cut after a sentence or elsewhere. Each partition
-    is a stream of its own (sequence_id holds its number above 2**40) and ends in sequences of a power of two, which need no padding; nothing is shuffled, and a task holds
-    one stretch. Repeated rows are packed each; other columns are ignored; an empty table gives no rows.
+    is a stream of its own (sequence_id holds its number above 2**40, so it depends on how the table is partitioned) and ends in sequences of a power of two, which need no padding; nothing is shuffled, and a task holds
+    one stretch; a very long document spans several. Repeated rows are packed each; other columns are ignored; an empty table gives no rows.
     """
     if window < 1 or window > 8192 or window & (window - 1):
         raise ValueError("window is a power of two up to 8192")
