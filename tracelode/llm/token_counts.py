@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_batches, arrow_rows
 
-#: Pre-tokens of a leaf.
+#: Pre-tokens of a leaf as it is built.
 LEAF = 64
 #: Pre-tokens whose counts are kept, at most; then the store is emptied.
 CACHE = 500_000
@@ -45,20 +45,24 @@ def counter(path: str) -> tuple[Callable[[str], list[str]], _Counts]:
 
 
 class Tree:
-    """A document's pre-tokens in leaves of up to ``LEAF``, with sums of characters and tokens above them.
+    """A document's pre-tokens in leaves of up to twice ``LEAF``, with sums of characters and tokens above them.
 
     ``chars`` and ``tokens`` are the levels of a binary segment tree, leaves first. An edit re-splits the text from
-    a pre-token's start a little before it until the old boundaries come again; leaves in that stretch are
-    replaced in place (a leaf may grow or be emptied) and only the sums above them are updated.
+    a pre-token's start a little before it up to the first old boundary that holds after it; only those pre-tokens are
+    encoded, and only the sums above their leaves are updated. A leaf that grows beyond its bound is dealt out to new ones,
+    which rebuilds the levels; that takes as many new pre-tokens as a leaf has, so edits stay cheap however many there are.
     """
 
     def __init__(self, text: str, split: Callable[[str], list[str]], counts: _Counts):
         self.split, self.counts = split, counts
-        pieces = split(text)
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.chars = self._levels([sum(map(len, p)) for p in self.leaves])
-        self.tokens = self._levels([sum(map(counts.__getitem__, p)) for p in self.leaves])
         self.encoded = 0  # pre-tokens encoded again by edits
+        pieces = split(text)
+        self._build([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]])
+
+    def _build(self, leaves: list[list[str]]) -> None:
+        self.leaves = leaves
+        self.chars = self._levels([sum(map(len, p)) for p in leaves])
+        self.tokens = self._levels([sum(map(self.counts.__getitem__, p)) for p in leaves])
 
     @staticmethod
     def _levels(leaves: list[int]) -> list[np.ndarray]:
@@ -88,9 +92,9 @@ class Tree:
                 i += 1
         return i, before
 
-    def _set(self, i: int, pieces: list[str]) -> None:
+    def _set(self, i: int, pieces: list[str], tokens: int) -> None:
         self.leaves[i] = pieces
-        for levels, value in ((self.chars, sum(map(len, pieces))), (self.tokens, sum(map(self.counts.__getitem__, pieces)))):
+        for levels, value in ((self.chars, sum(map(len, pieces))), (self.tokens, tokens)):
             step, j = value - int(levels[0][i]), i
             for level in levels:
                 level[j] += step
@@ -99,65 +103,79 @@ class Tree:
     def text(self) -> str:
         return "".join("".join(p) for p in self.leaves)
 
+    def _from(self, leaf: int, inside: int) -> Iterator[tuple[int, int, str]]:
+        """(leaf, place, pre-token) from a place in a leaf on."""
+        for i in range(leaf, len(self.leaves)):
+            for k in range(inside if i == leaf else 0, len(self.leaves[i])):
+                yield i, k, self.leaves[i][k]
+
+    def _context(self, start: int) -> tuple[int, int, int]:
+        """(leaf, place, character) of the pre-token before the one that holds the character ahead of ``start``."""
+        leaf, at = self.find(max(0, start - 1))
+        place = 0
+        while place < len(self.leaves[leaf]) - 1 and at + len(self.leaves[leaf][place]) < start:
+            at += len(self.leaves[leaf][place])
+            place += 1
+        if place:
+            return leaf, place - 1, at - len(self.leaves[leaf][place - 1])
+        earlier = leaf - 1
+        while earlier >= 0 and not self.leaves[earlier]:
+            earlier -= 1
+        if earlier < 0:
+            return leaf, 0, at
+        return earlier, len(self.leaves[earlier]) - 1, at - len(self.leaves[earlier][-1])
+
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters [start, end) by ``new``.
 
         What stands before a pre-token's start decides nothing about the split after it, except that a run of white
         space gives its last character to what follows: so the split is taken up one pre-token before the one that
-        touches ``start``, and holds as soon as it meets an old boundary past ``end`` at which no white space ends.
+        touches ``start``. It holds as soon as it meets an old boundary at or past ``end``; the last two pre-tokens of a stretch
+        that is cut short may change with what follows them, so they don't count.
         """
-        first, before = self.find(max(0, start - 1))
-        inside = [0]
-        for p in self.leaves[first]:
-            inside.append(inside[-1] + len(p))
-        touched = max(0, sum(1 for x in inside[1:] if before + x < start) - 1)
-        while touched == 0 and first > 0:  # the one before stands in an earlier leaf
-            first -= 1
-            if self.leaves[first]:
-                before -= sum(map(len, self.leaves[first]))
-                inside = [0]
-                for p in self.leaves[first]:
-                    inside.append(inside[-1] + len(p))
-                touched = max(0, len(self.leaves[first]) - 2)
-                break
-        kept = self.leaves[first][:touched]
-        begin = before + inside[touched]
-        last, until = self.find(end)
-        if last < first:
-            last, until = first, before
-        until += sum(map(len, self.leaves[last]))
+        first, place, begin = self._context(start)
+        ahead, at, old, bounds = self._from(first, place), begin, [], {}
+        want, ended = 4, False
         while True:
-            old = "".join("".join(p) for p in self.leaves[first : last + 1])[begin - before :]
-            text = old[: start - begin] + new + old[end - begin :]
-            if last == len(self.leaves) - 1:
-                pieces, rest = self.split(text), []
+            while not ended and want:  # some more old pre-tokens, with their ends past the edit
+                step = next(ahead, None)
+                if step is None:
+                    ended = True
+                    break
+                i, k, piece = step
+                old.append(piece)
+                at += len(piece)
+                if at >= end:
+                    bounds[at - end + start + len(new)] = (i, k, len(old))
+                    want -= 1
+            whole = "".join(old)
+            pieces = self.split(whole[: start - begin] + new + whole[end - begin :])
+            upto, here, held = len(pieces) if ended else len(pieces) - 2, begin, None
+            for n, piece in enumerate(pieces[: max(0, upto)]):
+                here += len(piece)
+                if here >= start + len(new) and here in bounds:
+                    held = n + 1, bounds[here]
+                    break
+            if held:
+                pieces, (last, k, _) = pieces[: held[0]], held[1]
                 break
-            more, j = [], last + 1
-            while j < len(self.leaves) and sum(map(len, more)) < 2:
-                more += self.leaves[j]
-                j += 1
-            ahead = "".join(more)
-            pieces = self.split(text + ahead)
-            ends, at = set(), 0
-            for p in pieces:
-                at += len(p)
-                ends.add(at)
-            # the boundary between the leaves is also one of the new split, and the piece before it is no white space
-            if len(text) in ends and text and not text[-1].isspace():
-                kept_pieces, at = [], 0
-                for p in pieces:
-                    if at >= len(text):
-                        break
-                    kept_pieces.append(p)
-                    at += len(p)
-                pieces, rest = kept_pieces, []
+            if ended:
+                last, k = len(self.leaves) - 1, len(self.leaves[-1]) - 1
                 break
-            last += 1
-            until += sum(map(len, self.leaves[last]))
+            want = 2 * len(old)
         self.encoded += len(pieces)
-        self._set(first, kept + pieces)
+        joined = self.leaves[first][:place] + pieces + self.leaves[last][k + 1 :]
+        if len(joined) > 2 * LEAF:
+            fresh = [joined[i : i + LEAF] for i in range(0, len(joined), LEAF)]
+            self._build(self.leaves[:first] + fresh + self.leaves[last + 1 :])
+            return
+        gone = self.leaves[first][place:] if last > first else self.leaves[first][place : k + 1]
+        tokens = int(self.tokens[0][first]) + sum(map(self.counts.__getitem__, pieces)) - sum(map(self.counts.__getitem__, gone))
+        if last > first:
+            tokens += sum(map(self.counts.__getitem__, self.leaves[last][k + 1 :]))
+        self._set(first, joined, tokens)
         for i in range(first + 1, last + 1):
-            self._set(i, rest)
+            self._set(i, [], 0)
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
@@ -173,7 +191,7 @@ def edited_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", edi
 
     n_tokens counts the whole text; ``edits`` (ascending, not overlapping, in the text's characters) are then applied from the last to
     the first to its tree, of which n_encoded pre-tokens were encoded again; the counts after are those of the
-    edited text. Null and empty texts have none. Repeated rows get equal results; an empty table gives no rows.
+    edited text. Null and empty texts have none; a very long text is one tree in its task. Repeated rows get equal results; an empty table gives no rows.
     """
     import public_tokenizers
 
