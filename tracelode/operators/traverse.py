@@ -74,7 +74,7 @@ def find_related_capped(graph: PropertyGraph, node_id: str, depth: int = 2, most
         size += int(new.count())
         if level == depth or new.isEmpty():
             break
-        seen = checkpointed(seen.union(new.select(F.col("other").alias("id"))))
+        seen = seen.union(new.select(F.col("other").alias("id")))  # each level stands in a table of its own
         ahead = new.orderBy("by").limit(most_nodes + 1)
         frontier = checkpointed(ahead.select(F.col("other").alias("id"), F.row_number().over(Window.orderBy("by")).alias("place")))
     return _around(graph, expanded, truncated)
@@ -129,7 +129,7 @@ def find_path(graph: PropertyGraph, source: str, target: str, most_hops: int = 6
         frontier = checkpointed(best.select(F.col("other").alias("id"), "x.by", "x.path"))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.union(frontier.select("id")))
+        seen = seen.union(frontier.select("id"))  # each level stands in a table of its own
     return spark.createDataFrame([], "step int, id string")
 
 
