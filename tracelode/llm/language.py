@@ -173,36 +173,58 @@ def probabilities(z: np.ndarray, subwords: np.ndarray, temperature: tuple[float,
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(samples: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """A model from (lang, [(buckets, counts) of the whole text, then of excerpts]), by stochastic gradient descent over the
-    embeddings and the softmax.
+@dataclass
+class Samples:
+    """Whole texts and excerpts one after the other: each has a language, the number of its document, and a stretch of buckets and counts."""
+
+    langs: list[str]
+    docs: np.ndarray
+    whole: np.ndarray
+    ends: np.ndarray
+    used: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, int, bool, bytes]]) -> Samples:
+        """From (lang, document, whole, packed): buckets, then counts, little-endian 32-bit numbers under zlib."""
+        langs, docs, whole, packed = ([r[i] for r in rows] for i in range(4))
+        pairs = [np.frombuffer(zlib.decompress(p), "<u4").reshape(2, -1) for p in packed]
+        used = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint32)
+        times = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.uint32)
+        return cls(langs, np.array(docs, np.int64), np.array(whole, bool), np.cumsum([p.shape[1] for p in pairs], dtype=np.int64), used, times)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
+        return self.used[at], self.times[at]
+
+
+def train(samples: Samples, buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+    """A model from whole texts and excerpts, by stochastic gradient descent over the embeddings and the softmax.
 
     A fifth of the samples sets the temperatures that make scores probabilities, and the rejection threshold: half the
     score that all but one in a hundred of the whole texts' right predictions exceed. Buckets never met stay zero, so a text
     of unknown characters scores as little as chance, and is rejected.
     """
-    langs = sorted({k for k, _ in samples})
+    langs = sorted(set(samples.langs))
     if not langs:
         return Model([], np.zeros((0, 2)), None, np.zeros(0), (1.0, 0.0), 0.0)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(samples))
-    fifth = len(order) // 5
-
-    def rows(which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int, bool]]:
-        return [(used, n / n.sum(), langs.index(samples[i][0]), int(n.sum()), whole == 0) for i in which for whole, (used, n) in enumerate(samples[i][1])]
-
-    check, learn = rows(order[:fifth]), rows(order[fifth:])
+    kinds = np.array([langs.index(k) for k in samples.langs])
+    documents = rng.permutation(int(samples.docs.max()) + 1)
+    checks = np.isin(samples.docs, documents[: len(documents) // 5])
+    check, learn = np.flatnonzero(checks), np.flatnonzero(~checks)
     met = np.zeros(buckets, bool)
-    for used, *_ in learn:
-        met[used] = True
+    for i in learn:
+        met[samples.row(i)[0]] = True
     embed = rng.normal(0, 1 / dim, (buckets, dim)) * met[:, None]
     w, b = np.zeros((dim, len(langs))), np.zeros(len(langs))
     steps, done = epochs * len(learn), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(learn)):
+        for i in rng.permutation(learn):
             step = rate * (1 - done / steps)
             done += 1
-            ids, weight, k, *_ = learn[i]
+            (ids, times), k = samples.row(i), kinds[i]
+            weight = times / times.sum()
             hidden = weight @ embed[ids]
             p = hidden @ w + b
             p = np.exp(p - p.max())
@@ -213,9 +235,10 @@ def train(samples: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], bucket
             b -= step * p
             embed[ids] -= step * min(len(ids), 1024) ** 0.5 * np.outer(weight, back)
     temperature, threshold = (1.0, 0.0), 0.0
-    if check:
-        z = np.array([weight @ (embed[ids] @ w) + b for ids, weight, *_ in check])
-        truth, size, whole = (np.array([r[c] for r in check]) for c in (2, 3, 4))
+    if len(check):
+        size = np.array([samples.row(i)[1].sum() for i in check])
+        z = np.array([(t / t.sum()) @ (embed[ids] @ w) + b for ids, t in map(samples.row, check)])
+        truth, whole = kinds[check], samples.whole[check]
         loss = lambda t: -np.log(probabilities(z, size, t)[np.arange(len(truth)), truth] + 1e-12).sum()
         temperature = min(((float(t), float(c)) for t in np.geomspace(0.02, 5, 24) for c in (0, 10, 30, 100, 300, 1000)), key=loss)
         p = probabilities(z, size, temperature)
@@ -246,7 +269,7 @@ def fit(docs: DataFrame, sample_rows: int = 2000, buckets: int = 1 << 16) -> Mod
     drawn = usable.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h"), "doc_id", "text", "lang").join(F.broadcast(counts), "lang").where(F.col("h") <= share * float(1 << 53))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     chosen = drawn.withColumn("rank", rank).where(F.col("rank") <= quota)
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("used", pa.binary()), ("times", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -254,17 +277,20 @@ def fit(docs: DataFrame, sample_rows: int = 2000, buckets: int = 1 << 16) -> Mod
                 if has_letter(text):
                     for k, part in enumerate([text, *excerpts(text)]):
                         used, times = counted(part, buckets)
-                        yield h, doc_id, lang, k, used.astype("<u4").tobytes(), times.astype("<i8").tobytes()
+                        yield h, doc_id, lang, k, zlib.compress(used.astype("<u4").tobytes() + times.astype("<u4").tobytes(), 1)
 
         yield from arrow_batches(rows(), schema, 64)
 
-    found = chosen.select("h", "doc_id", "lang", "text").mapInArrow(run, "h long, doc_id long, lang string, part int, used binary, times binary").collect()
-    samples, last = [], None
-    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["part"], r["used"], r["times"])):
+    found = chosen.select("h", "doc_id", "lang", "text").mapInArrow(run, "h long, doc_id long, lang string, part int, packed binary").collect()
+    rows, number, last = [], -1, None
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["part"], r["packed"])):
         if r["part"] == 0 or (r["lang"], r["doc_id"]) != last:
-            samples.append((r["lang"], []))
+            number += 1
         last = (r["lang"], r["doc_id"])
-        samples[-1][1].append((np.frombuffer(r["used"], "<u4"), np.frombuffer(r["times"], "<i8")))
+        rows.append((r["lang"], number, r["part"] == 0, bytes(r["packed"])))
+    del found
+    samples = Samples.of(rows)
+    del rows
     return train(samples, buckets)
 
 
