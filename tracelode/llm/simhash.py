@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_rows, checkpointed
+from .common import arrow_batches, arrow_rows, stored, with_keys
 from .components import components
 
 SEED = 42
@@ -43,58 +44,61 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _byte(fp: Column, at: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * at).bitwiseAND(F.lit(255).cast("long"))
+#: Byte positions of a posting. Postings of five of eight bytes have 40-bit values, so unrelated texts rarely share one at any size.
+POSTED = 5
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight byte positions two fingerprints share."""
-    return sum((F.when(_byte(a, i) == _byte(b, i), 1).otherwise(0) for i in range(1, 8)), F.when(_byte(a, 0) == _byte(b, 0), 1).otherwise(0))
+def postings(posted: int = POSTED) -> list[tuple[int, ...]]:
+    """All sets of ``posted`` of the eight byte positions; a fingerprint has a posting in each."""
+    return list(combinations(range(8), posted))
 
 
-def postings() -> list[tuple[int, ...]]:
-    """Sets of four byte positions: any two bytes that differ are missed by at least one of them."""
-    pairs = [(0, 1), (2, 3), (4, 5), (6, 7)]
-    return [a + b for a, b in combinations(pairs, 2)]
+def least_shared(most_bits: int, posted: int = POSTED) -> int:
+    """The guaranteed matches: fingerprints with so many differing bits share at least 8 - bits bytes, and the postings within them."""
+    return comb(8 - most_bits, posted)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def links(distinct: DataFrame, most_bits: int = 2, bucket: int = 64) -> DataFrame:
     """Pairs (u, v) of fingerprints that connect all those at ``most_bits`` (1 or 2) or fewer differing bits.
 
-    Fingerprints that differ in at most two bits share at least six of their eight bytes, and so all four of
-    at least one set of ``postings``. Up to ``bucket`` fingerprints under a posting meet as pairs: their
-    shared bytes are tallied, pairs with fewer than the six guaranteed go, the rest are verified bit by bit.
-    A larger posting doesn't make pairs: each of its fingerprints lists itself and every change of one bit
-    outside the shared bytes. Two fingerprints at distance two or less have one such value in common, and
-    whatever has one in common is at distance two or less, so the first fingerprint of each value, linked
-    to the others, connects the same groups with rows in proportion to the posting.
+    Every fingerprint is posted under each set of ``POSTED`` byte positions, with those bytes. Pairs that share a posting are
+    tallied over all postings, map-side first; pairs with fewer than the guaranteed number of matches go, the rest are verified
+    bit by bit. A posting of more than ``bucket`` fingerprints would make pairs with the square of its size, so it gives
+    representative pairs and membership instead, in proportion to its size: each member lists itself and every change of one
+    bit outside the shared bytes. Two members at distance two or less have such a value in common, and whatever has one in
+    common is at distance two or less, so the first member of each value represents it and is linked to the others. A pair
+    with such a posting is connected there; any other has all its postings tallied; so none is lost, at any size.
     """
     if most_bits not in (1, 2):
         raise ValueError("most_bits is 1 or 2")
-    fp, least = F.col("fp"), 8 - most_bits
-
-    def mask(positions: tuple[int, ...]) -> int:
-        m = sum(255 << (8 * i) for i in positions)
-        return m - (1 << 64) if m >= 1 << 63 else m
-
+    fp = F.col("fp")
     sets = postings()
-    rows = F.array(*[F.struct(F.lit(k).alias("posting"), fp.bitwiseAND(F.lit(mask(s))).alias("value")) for k, s in enumerate(sets)])
+    masks = [_signed(sum(255 << (8 * i) for i in positions)) for positions in sets]
+    rows = F.array(*[F.struct(F.lit(k).cast("byte").alias("posting"), fp.bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks)])
     index = distinct.select("fp", F.explode(rows).alias("x")).select("fp", "x.posting", "x.value")
-    met = index.join(index.groupBy("posting", "value").agg(F.count("*").alias("n")).where("n > 1"), ["posting", "value"])
-    small = met.where(F.col("n") <= bucket).groupBy("posting", "value").agg(F.collect_list("fp").alias("fps"))
-    near = lambda a, b: (a < b) & (shared_bytes(a, b) >= least) & (F.bit_count(a.bitwiseXOR(b)) <= most_bits)
-    pairs = small.select(F.explode("fps").alias("u"), "fps").select("u", F.explode(F.filter("fps", lambda b: near(F.col("u"), b))).alias("v"))
-    flips = [[1 << (8 * i + j) for i in range(8) if i not in s for j in range(8)] for s in sets]
-    flips = [[x - (1 << 64) if x >= 1 << 63 else x for x in f] for f in flips]
-    mine = F.element_at(F.array(*[F.array(*[F.lit(x) for x in [0, *f]]) for f in flips]), F.col("posting") + 1)
+    met = index.groupBy("posting", "value").agg(F.count("*").alias("rows")).where("rows > 1")
+    # most values are one fingerprint's alone; what is left is small, and is written once
+    met = stored(with_keys(stored(index), stored(met).withColumn("size", F.col("rows")), ["posting", "value"], "size"))
+    small = met.where(F.col("size") <= bucket).groupBy("posting", "value").agg(F.collect_list("fp").alias("fps"))
+    pairs = small.select(F.explode("fps").alias("u"), "fps").select("u", F.explode(F.filter("fps", lambda x: x > F.col("u"))).alias("v"))
+    tallied = pairs.groupBy("u", "v").agg(F.count("*").alias("matches")).where(F.col("matches") >= least_shared(most_bits))
+    near = tallied.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most_bits).select("u", "v")
+    hot = met.where(F.col("size") > bucket)
+    if hot.isEmpty():
+        return near
+    flips = [[0, *(_signed(1 << (8 * i + j)) for i in range(8) if i not in positions for j in range(8))] for positions in sets]
+    mine = F.element_at(F.array(*[F.array(*[F.lit(x) for x in f]) for f in flips]), F.col("posting") + 1)
+    changed = hot.select("posting", "fp", F.explode(F.transform(mine, lambda x: fp.bitwiseXOR(x))).alias("value"))
     if most_bits == 2:
-        large = met.where(F.col("n") > bucket).select("posting", "fp", F.explode(F.transform(mine, lambda x: fp.bitwiseXOR(x))).alias("value"))
-        heads = large.groupBy("posting", "value").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
-        stars = large.join(heads, ["posting", "value"]).where("fp <> u").select("u", F.col("fp").alias("v"))
+        heads = changed.groupBy("posting", "value").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
+        stars = changed.join(heads, ["posting", "value"]).where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
     else:  # at one bit the changed value is itself the partner
-        large = met.where(F.col("n") > bucket).select("posting", F.col("fp").alias("u"), F.explode(F.transform(mine, lambda x: fp.bitwiseXOR(x))).alias("v"))
-        stars = large.join(distinct.withColumnRenamed("fp", "v"), "v").where("u <> v").select("u", "v")
-    return pairs.union(stars)
+        stars = changed.select(F.col("fp").alias("u"), F.col("value").alias("v")).distinct().join(distinct.withColumnRenamed("fp", "v"), "v").where("u <> v").select("u", "v")
+    return near.union(stars)
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, most_bits: int = 2, bucket: int = 64) -> DataFrame:
@@ -104,15 +108,16 @@ def simhash_dedup(docs: DataFrame, width: int = 3, most_bits: int = 2, bucket: i
     included. A text with fewer words than ``width`` is one shingle; null, empty and blank texts have
     fingerprint zero, which is linked like any other. Rows that repeat a doc_id keep a row each; a null doc_id
     takes no part in the smallest. Other columns are ignored; an empty table gives no rows.
-    Equal fingerprints are first reduced to one row, so groups of exact copies cost nothing to link.
+    Equal fingerprints are first reduced to one row, so groups of exact copies cost nothing to link. Very long texts are
+    hashed in blocks of shingles.
     """
-    marked = checkpointed(fingerprints(docs, width))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    marked = stored(fingerprints(docs, width))
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     joined = components(links(distinct.select("fp"), most_bits, bucket))
     placed = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     groups = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    named = checkpointed(placed.join(groups, "component").select("fp", "component_id", "group_size"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "group_size")
+    named = stored(placed.join(groups, "component").select("fp", "component_id", "group_size", F.col("n").alias("rows")))
+    return with_keys(marked, named, ["fp"], "component_id", "group_size").select("doc_id", "fp", "component_id", "group_size")
 
 
 def hex_of(fp: Column) -> Column:
