@@ -85,3 +85,19 @@ def test_run(spark, tmp_path):
     want = sorted((r["doc_id"], len(encode(r["text"] or "")) + 1) for r in mixed)
     found = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg({"length": "sum"}).collect()
     assert sorted(tuple(r) for r in found) == want
+
+
+def test_large_postings_in_blocks(spark, monkeypatch):
+    """A group of near copies whose postings are cut into many pairs of blocks stays one group, and others stay out of it."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(base[:30] + [f"y{rng.randrange(500)}" for _ in range(90)])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(r["doc_id"] for r in near_dedup.near_dedup(df, ["doc_id", "text"], bucket=4).collect())
+    assert found == [0, *range(100, 106)]
