@@ -34,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of a stored table's row groups.
+ROW_GROUP = 16 << 20
 _folders: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
@@ -64,10 +66,10 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as a compressed table in the shared folder, its lineage cut: no lost executor makes it anew.
 
     Tables go with the application, or as the ``scratch`` around them ends. Spark takes a table's size for its files', so what is
-    made of few of its bytes (exploded ranges) needs a join hint.
+    made of few of its bytes (exploded ranges) needs a join hint. Row groups are small, as a task holds one in memory until it is written.
     """
     path = f"{own_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

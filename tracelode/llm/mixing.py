@@ -102,11 +102,11 @@ def _once(x: Column, a: Column, b: Column, key: tuple[Column, ...], i: int = 0)
 
 
 def _walk(w: Column, key: tuple[Column, ...]) -> Column:
-    """The first place below n on the way from x."""
-    step = lambda x, _: F.when(x["i"] & (x["x"] < w["n"]), x).otherwise(F.struct(_once(x["x"], w["a"], w["b"], key).alias("x"), F.lit(True).alias("i")))
-    start = F.struct(w["x"].alias("x"), F.lit(False).alias("i"))
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, step)["x"]
-    return _let(last, lambda x: F.when(x < w["n"], x).otherwise(F.raise_error(F.lit("a block's walk did not end")).cast("long")))
+    """The first place below n on the way from x; nearly always it is the next one."""
+    on = lambda x: _once(x, w["a"], w["b"], key)
+    further = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), p, lambda x, _: F.when(x < w["n"], x).otherwise(on(x)))
+    ended = lambda x: F.when(x < w["n"], x).otherwise(F.raise_error(F.lit("a block's walk did not end")).cast("long"))
+    return _let(on(w["x"]), lambda p: F.when(p < w["n"], p).otherwise(_let(further(p), ended)))
 
 
 def manifest(sources: DataFrame, block: int, seed: int) -> DataFrame:
