@@ -88,12 +88,16 @@ def evidence(spans: DataFrame, count: int = 100) -> DataFrame:
     return spans.select(*[F.col(c) if c in spans.columns else F.lit(1).alias(c) for c in place]).distinct().orderBy(*place).limit(count)
 
 
-def fingerprint(graph: PropertyGraph, digits: int = 3) -> DataFrame:
+def fingerprint(graph: PropertyGraph, range_rows: int = 100_000) -> DataFrame:
     """(fingerprint): SHA-256 over the relations, whatever their partitions and order.
 
-    Rows are hashed, the hashes of each of 16 ** ``digits`` ranges are sorted and hashed, and so are those, so that one task holds
-    a range, not the relation.
+    Rows are hashed, the hashes of each range are sorted and hashed, and so are those, so that one task holds a range, not the
+    relation. There are 4,096 ranges, and 16 times as many as often as their rows would be more than ``range_rows``: the number
+    depends on the relations' size alone, so equal graphs have equal fingerprints.
     """
+    rows, digits = graph.nodes.count() + graph.edges.count(), 3
+    while rows > range_rows * 16**digits:
+        digits += 1
     nodes = graph.nodes.select(F.concat_ws("|", F.lit("node"), "id", "type", canonical_name(F.lit(None).cast("string"), F.col("full_name"), F.col("name")), F.coalesce("file_path", F.lit(""))).alias("row"))
     edges = graph.edges.select(F.concat_ws("|", F.lit("edge"), "id", "type", "from_id", "to_id", F.col("resolved").cast("string")).alias("row"))
     hashes = nodes.union(edges).select(F.sha2("row", 256).alias("h"))
