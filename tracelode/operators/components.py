@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_folders: dict[str, str] = {}
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the application's folder of the shared one, its lineage cut.
+
+    Unlike a checkpoint it has a size that the optimiser knows, so a small one is broadcast and a large one is shuffled.
+    """
+    spark = df.sparkSession
+    name = spark.sparkContext.applicationId
+    if name not in _folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tracelode-core-{name}-{uuid.uuid4().hex[:8]}")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _folders[name] = place.toString()
+    path = f"{_folders[name]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` made."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(file)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def propagate(labels: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, label) after every edge (u, v) has passed on the least label from u to v until nothing changes."""
     labels, edges = checkpointed(labels), checkpointed(edges.select("u", "v").distinct())

@@ -85,36 +85,36 @@ class Store:
         missing = [t for t in SCHEMAS if t not in self._current()["tables"]]
         self.commit({t: self.spark.createDataFrame([], SCHEMAS[t]) for t in missing})
 
-    def commit(self, tables: dict[str, DataFrame], closed: bool | None = None) -> None:
-        """Replaces tables, all at once; the folders that they leave are deleted then."""
-        current, gone = self._current(), []
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Replaces tables, all at once; the folders that they leave are deleted then.
+
+        Each relation is made once, as plain rows, from which its copies are laid out. With nodes and edges it is found out here
+        whether every edge's ends are nodes.
+        """
+        current, gone, rows = self._current(), [], {}
         for table, df in tables.items():
-            copies = COPIES.get(table, {table: None})
-            first = None
-            for name, key in copies.items():
-                folder = f"{self.home}/{name}-{uuid.uuid4().hex}"
-                rows = shaped(df, table) if first is None else self.spark.read.schema(SCHEMAS[table]).parquet(first)
-                self._write(rows, folder, key)
+            folder = f"{self.home}/{table}-{uuid.uuid4().hex}"
+            shaped(df, table).write.parquet(folder)
+            rows[table] = self.spark.read.schema(SCHEMAS[table]).parquet(folder)
+            for name, key in COPIES.get(table, {table: None}).items():
                 gone += [current["tables"][name]] if name in current["tables"] else []
-                current["tables"][name] = first = folder
-        if closed is not None:
-            current["closed"] = closed
+                current["tables"][name] = folder if key is None else self._laid_out(rows[table], f"{self.home}/{name}-{uuid.uuid4().hex}", key)
+            gone += [folder] if table in COPIES else []
+        if "nodes" in rows and "edges" in rows:
+            ends = rows["edges"].select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+            current["closed"] = ends.join(rows["nodes"].select("id"), "id", "left_anti").isEmpty()
+        elif "nodes" in rows or "edges" in rows:
+            current["closed"] = False
         self._swap(current)
         for folder in gone:
             place, files = self._files(folder)
             files.delete(place, True)
 
-    def _write(self, rows: DataFrame, folder: str, key: str | None) -> None:
-        if key is None:
-            rows.write.parquet(folder)
-            return
-        whole = f"{folder}-rows"
-        rows.write.parquet(whole)  # the relation is made once; ranges are drawn from it
-        rows = self.spark.read.schema(rows.schema).parquet(whole)
+    def _laid_out(self, rows: DataFrame, folder: str, key: str) -> str:
+        """A copy in ranges of ``key``, a folder a type, sorted."""
         ranges = max(1, -(-rows.count() // RANGE), min(8, self.spark.sparkContext.defaultParallelism))
         rows.repartitionByRange(ranges, key).sortWithinPartitions("type", key).write.partitionBy("type").parquet(folder)
-        place, files = self._files(whole)
-        files.delete(place, True)
+        return folder
 
     def read(self, table: str) -> DataFrame:
         """A table as it stands; one that was never written is empty."""
@@ -124,12 +124,9 @@ class Store:
         return self.spark.read.schema(schema).parquet(folder).select(*[c.split()[0] for c in schema.split(", ")])
 
     def replace_graph(self, nodes: DataFrame, edges: DataFrame, provenance: DataFrame | None = None) -> None:
-        """Nodes, edges and provenance anew, in one swap. Whether every edge's ends are nodes is found out once, here."""
-        ids = nodes.select("id")
-        ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
-        closed = ends.join(ids, "id", "left_anti").isEmpty()
-        tables = {"nodes": nodes, "edges": edges}
-        self.commit(tables | {"provenance": self.spark.createDataFrame([], SCHEMAS["provenance"]) if provenance is None else provenance}, closed)
+        """Nodes, edges and provenance anew, in one swap."""
+        empty = self.spark.createDataFrame([], SCHEMAS["provenance"])
+        self.commit({"nodes": nodes, "edges": edges, "provenance": empty if provenance is None else provenance})
 
     def upsert(self, table: str, rows: DataFrame, keep: tuple[str, ...] = ("created_at",)) -> None:
         """Rows over those of the same key; a row's first ``created_at`` stays."""
