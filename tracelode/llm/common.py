@@ -36,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Bytes of a stored table's row groups.
 ROW_GROUP = 16 << 20
+#: Rows of a file, where their number is known beforehand.
+FILE_ROWS = 100_000
 _folders: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
@@ -62,12 +64,15 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy", rows: int | None = None) -> DataFrame:
     """``df`` as a compressed table in the shared folder, its lineage cut: no lost executor makes it anew.
 
     Tables go with the application, or as the ``scratch`` around them ends. Spark takes a table's size for its files', so what is
     made of few of its bytes (exploded ranges) needs a join hint. Row groups are small, as a task holds one in memory until it is written.
+    A table of known few ``rows`` gets few files: a file system without native calls starts processes for each.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, rows // FILE_ROWS))
     path = f"{own_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
     if _scopes:
@@ -103,7 +108,7 @@ def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], *columns: str) ->
     ``FREQUENT`` of them whatever the size, are broadcast; all others meet by shuffle. ``rows`` is read up to three times, so it should be stored.
     """
     most = rows.count() // FREQUENT + 1000
-    few = stored(keys.where(F.col("rows") > most).select(*on, *columns))
+    few = keys.where(F.col("rows") > most).select(*on, *columns)
     rest = keys.where(F.col("rows") <= most).select(*on, *columns)
     how = "inner" if columns else "left_semi"
     if few.isEmpty():

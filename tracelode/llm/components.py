@@ -38,5 +38,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before, edges = now, stored(_small_star(_large_star(edges)))
+        before, edges = now, stored(_small_star(_large_star(edges)), rows=2 * now["n"])
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
