@@ -33,6 +33,12 @@ def filter_glob(d: Data) -> DataFrame:
     return d.graph.nodes.where(kept & ~glob(path, ["NATION_1"], False)).select("id", "file_path")
 
 
+@query("filter_glob_empty", "SELECT path, false AS excluded, true AS included FROM files")
+def filter_glob_empty(d: Data) -> DataFrame:
+    """No patterns: nothing is excluded, everything is included."""
+    return d.bound("files").select("path", glob(F.col("path"), [], False).alias("excluded"), glob(F.col("path"), [], True).alias("included"))
+
+
 @query("filter_extension", "SELECT path FROM files WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|mjs|cjs)$')")
 def filter_extension(d: Data) -> DataFrame:
     return d.bound("files").where(supported(F.col("path"))).select("path")
