@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tracelode.llm import language, mixing, near_dedup, packing
+from tracelode.llm import common, language, mixing, near_dedup, packing
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -101,3 +101,31 @@ def test_large_postings_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted(r["doc_id"] for r in near_dedup.near_dedup(df, ["doc_id", "text"], bucket=4).collect())
     assert found == [0, *range(100, 106)]
+
+
+def folders(spark):
+    return set(os.listdir(common.own_folder(spark).removeprefix("file://")))
+
+
+def test_disk_is_given_back_and_one_tree_moves_once(spark, monkeypatch):
+    """What the stage stored on its way is gone, and postings of texts that are one tree already are not moved again."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    moved, plain = [], near_dedup._forests
+    monkeypatch.setattr(near_dedup, "_forests", lambda large: moved.append(large.count()) or plain(large))
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(100)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(24)]
+    df, before = spark.createDataFrame(rows, "doc_id long, text string"), folders(spark)
+    found = near_dedup.near_dedup(df, ["doc_id", "text"], bucket=4)
+    assert [r["doc_id"] for r in found.collect()] == [0]
+    assert len(folders(spark) - before) <= 3
+    assert sum(moved) == 0
+
+
+def test_part_by_part(spark, monkeypatch):
+    """Pairs and postings compared in many parts give the same groups."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "PART", 0.3)
+    rows = corpus()
+    found = near_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA), corpus_pipeline.COLUMNS, 2).collect()
+    assert sorted((r["doc_id"] for r in found), key=repr) == brute(rows)
