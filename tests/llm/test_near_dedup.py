@@ -129,3 +129,17 @@ def test_part_by_part(spark, monkeypatch):
     rows = corpus()
     found = near_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA), corpus_pipeline.COLUMNS, 2).collect()
     assert sorted((r["doc_id"] for r in found), key=repr) == brute(rows)
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """What SimHash links is verified first, also where a text has a nearer one, and what it connects isn't looked at again."""
+    asked, plain = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda texts, pairs, room: asked.append({(r["u"], r["v"]) for r in pairs.collect()}) or plain(texts, pairs, room))
+    base = [f"w{i}" for i in range(200)]
+    # a chain: each text is nearest to the one before it
+    texts = spark.createDataFrame([(i, " ".join([f"x{j}" for j in range(i)] + base[i:])) for i in range(1, 6)], "node long, text string")
+    star = [(1, v) for v in range(2, 6)]
+    monkeypatch.setattr(near_dedup, "simhash_pairs", lambda texts: spark.createDataFrame(star, "u long, v long"))
+    near_dedup.links(texts).collect()
+    first, second = asked
+    assert set(star) <= first and not second
