@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .budget import edge_tokens, node_tokens, split_budget, take_fitting
-from .components import checkpointed
+from .components import checkpointed, stored
 from .graph import SUMMARY_TYPES, PropertyGraph, export_rank
 from .traverse import cycles
 
@@ -61,7 +61,7 @@ def ai_result(graph: PropertyGraph, most: int | None = None) -> PropertyGraph:
 
     The chosen nodes are written once: both ends of every edge are looked up in them.
     """
-    nodes = checkpointed(ai_nodes(graph, most))
+    nodes = stored(ai_nodes(graph, most))
     return PropertyGraph(nodes.select(*graph.nodes.columns), graph.induced(nodes, keep_entry_points=True))
 
 
@@ -76,8 +76,8 @@ def file_summaries(graph: PropertyGraph, count: int = 20) -> DataFrame:
 
 def symbol_summaries(graph: PropertyGraph, count: int = 25) -> DataFrame:
     """(id, label, summary) of the first symbols with their numbers of edges."""
-    chosen = graph.nodes_of(*SUMMARY_TYPES).orderBy("type", "name", "id").limit(count)
-    degrees = PropertyGraph(chosen, graph.edges).degrees()
+    chosen = stored(graph.nodes_of(*SUMMARY_TYPES).orderBy("type", "name", "id").limit(count))
+    degrees = PropertyGraph(chosen, graph.touching(chosen)).degrees()
     text = F.concat("type", F.lit(" "), "name", F.lit(" has "), F.col("out_degree").cast("string"), F.lit(" outgoing and "), F.col("in_degree").cast("string"), F.lit(" incoming relationships."))
     return chosen.join(degrees, "id").select("id", F.coalesce(F.nullif("full_name", F.lit("")), "name").alias("label"), text.alias("summary"))
 
@@ -113,8 +113,8 @@ def pruned(graph: PropertyGraph, most_tokens: int, centrality: DataFrame | None
     focus = F.when(F.col("type").isin("file", "class", "function"), 0).otherwise(1)
     items = scored.select("id", focus.alias("focus"), (-F.coalesce("score", F.lit(0.0))).alias("down"), export_rank(F.col("type")).alias("rank"), "name", F.col("id").alias("tie"), node_tokens(F.col("name"), F.col("full_name"), F.col("summary"), F.lit("{}")).alias("tokens"))
     nodes = take_fitting(items, for_nodes, ["focus", "down", "rank", "name", "tie"])
-    ids = spark.createDataFrame([(i,) for i in nodes], "id string")
-    inner = graph.induced(ids)
+    ids = stored(spark.createDataFrame([(i,) for i in nodes], "id string"))
+    inner = stored(graph.induced(ids))
     edges = take_fitting(inner.select("id", F.col("id").alias("tie"), edge_tokens(F.lit("{}")).alias("tokens")), for_edges, ["tie"])
     chosen = spark.createDataFrame([(i,) for i in edges], "id string")
     return PropertyGraph(graph.nodes.join(ids, "id", "left_semi"), inner.join(chosen, "id", "left_semi"))
@@ -126,7 +126,8 @@ def key_symbols(graph: PropertyGraph, count: int = 20) -> DataFrame:
 
 
 def core_modules(graph: PropertyGraph, count: int = 12) -> DataFrame:
-    return graph.nodes_of("file", "module").join(graph.importance(), "id").orderBy(F.desc("importance"), "name", "id").limit(count)
+    chosen = graph.nodes_of("file", "module")
+    return chosen.join(graph.importance(chosen), "id").orderBy(F.desc("importance"), "name", "id").limit(count)
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:

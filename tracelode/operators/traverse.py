@@ -1,17 +1,19 @@
 """Traversals: bounded neighbourhoods, shortest paths, reachability, cycles and call chains.
 
-Loops run one join per level and cut lineage at each; what they keep is rows of ids. Breadth-first order is made of
+Loops run one join per level and write each level as a table of known size, so a small one is broadcast and the edges stay where
+they are; what they keep is rows of ids. Breadth-first order is made of
 columns: a node's place is its discoverer's place, then whether the edge leads out or in, then the edge's id.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import checkpointed
+from .components import checkpointed, stored
 from .graph import PropertyGraph
 
 
@@ -32,19 +34,17 @@ def find_related(graph: PropertyGraph, node_id: str, depth: int = 2) -> Neighbou
     So nodes up to distance depth + 1 are in it. An unknown id gives no nodes.
     """
     steps = graph.both_ways().select("at", "other")
-    reached = frontier = checkpointed(_start(graph, node_id))
+    reached = frontier = stored(_start(graph, node_id))
     for _ in range(depth):
         new = steps.join(frontier.withColumnRenamed("id", "at"), "at", "left_semi").select(F.col("other").alias("id")).distinct()
-        frontier = checkpointed(new.join(reached, "id", "left_anti"))
+        frontier = stored(new.join(reached, "id", "left_anti"))
         reached = reached.union(frontier)
     return _around(graph, reached, False)
 
 
 def _around(graph: PropertyGraph, expanded: DataFrame, truncated: bool) -> Neighbourhood:
     mark = expanded.select("id").distinct()
-    from_here = graph.edges.join(mark.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(*graph.edges.columns)
-    to_here = graph.edges.join(mark.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*graph.edges.columns)
-    edges = from_here.union(to_here.join(mark.withColumnRenamed("id", "from_id"), "from_id", "left_anti").select(*graph.edges.columns))
+    edges = graph.touching(mark)
     ids = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).union(mark).distinct()
     return Neighbourhood(graph.nodes.join(ids, "id", "left_semi"), edges, truncated)
 
@@ -56,15 +56,15 @@ def find_related_capped(graph: PropertyGraph, node_id: str, depth: int = 2, most
     can still expand are ranked, so a level's window is small whatever its size.
     """
     steps = graph.both_ways()
-    frontier = _start(graph, node_id).withColumn("place", F.lit(1))
-    seen = expanded = checkpointed(frontier.select("id"))
+    frontier = stored(_start(graph, node_id).withColumn("place", F.lit(1)))
+    seen = expanded = stored(frontier.select("id"))
     size, truncated, first = 1, False, True
     for level in range(depth + 1):
         out = frontier.withColumnRenamed("id", "at").join(steps, "at").select("other", F.struct("place", "way", "edge_id").alias("by"))
-        new = checkpointed(out.join(seen.withColumnRenamed("id", "other"), "other", "left_anti").groupBy("other").agg(F.min("by").alias("by")))
+        new = stored(out.join(seen.withColumnRenamed("id", "other"), "other", "left_anti").groupBy("other").agg(F.min("by").alias("by")))
         found = new.groupBy(F.col("by.place").alias("place")).agg(F.count("*").alias("n"))
         before = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-        kept = checkpointed(frontier.join(found, "place", "left").withColumn("before", F.lit(size) + F.coalesce(before, F.lit(0))).withColumn("kept", F.col("before") < most_nodes))
+        kept = stored(frontier.join(found, "place", "left").withColumn("before", F.lit(size) + F.coalesce(before, F.lit(0))).withColumn("kept", F.col("before") < most_nodes))
         chosen = kept.where("kept").select("id")
         expanded = chosen if first else expanded.union(chosen)
         first = False
@@ -76,18 +76,18 @@ def find_related_capped(graph: PropertyGraph, node_id: str, depth: int = 2, most
             break
         seen = seen.union(new.select(F.col("other").alias("id")))  # each level stands in a table of its own
         ahead = new.orderBy("by").limit(most_nodes + 1)
-        frontier = checkpointed(ahead.select(F.col("other").alias("id"), F.row_number().over(Window.orderBy("by")).alias("place")))
+        frontier = stored(ahead.select(F.col("other").alias("id"), F.row_number().over(Window.orderBy("by")).alias("place")))
     return _around(graph, expanded, truncated)
 
 
 def reach(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(id, distance) of all that ``starts`` (id) reach over (u, v), the starts at 0."""
-    steps = checkpointed(edges.select("u", "v").distinct())
-    frontier = checkpointed(starts.select("id", F.lit(0).alias("distance")).distinct())
+    steps = stored(edges.select("u", "v"))
+    frontier = stored(starts.select("id", F.lit(0).alias("distance")).distinct())
     found = frontier
     for distance in range(1, most_rounds):
         new = steps.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-        frontier = checkpointed(new.join(found, "id", "left_anti").withColumn("distance", F.lit(distance)))
+        frontier = stored(new.join(found, "id", "left_anti").withColumn("distance", F.lit(distance)))
         if frontier.isEmpty():
             return found
         found = found.union(frontier)
@@ -115,22 +115,36 @@ def impacted(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def find_path(graph: PropertyGraph, source: str, target: str, most_hops: int = 64) -> DataFrame:
-    """(step, id): the nodes of a shortest directed path, of which the first in breadth-first order; none if there is none."""
+    """(step, id): the nodes of a shortest directed path, of which the first in breadth-first order; none if there is none.
+
+    Layers grow from both ends, the smaller one at a time and of equal ones the target's, until they meet, and the edges that each step crosses are kept. The path is
+    then chosen over those alone: every shortest path crosses them.
+    """
     spark = graph.nodes.sparkSession
+    none = spark.createDataFrame([], "step int, id string")
     steps = graph.edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("other"), F.col("id").alias("edge_id"))
-    frontier = spark.createDataFrame([(source, [], [source])], "id string, by array<string>, path array<string>")
-    seen = checkpointed(frontier.select("id"))
-    for _ in range(most_hops + 1):
-        hit = frontier.where(F.col("id") == target)
-        if not hit.isEmpty():
-            return hit.select(F.posexplode("path").alias("step", "id"))
-        out = frontier.withColumnRenamed("id", "at").join(steps, "at").join(seen.withColumnRenamed("id", "other"), "other", "left_anti")
+    start = stored(spark.createDataFrame([(source, [], [source])], "id string, by array<string>, path array<string>"))
+    ends = [start.select("id"), stored(spark.createDataFrame([(target,)], "id string"))]
+    seen, sizes, crossed = list(ends), [1, 1], [[], []]
+    while ends[0].join(ends[1], "id", "left_semi").isEmpty():
+        if len(crossed[0]) + len(crossed[1]) == most_hops:
+            return none
+        k = int(sizes[0] >= sizes[1])
+        near, far = ("at", "other") if k == 0 else ("other", "at")
+        met = steps.join(ends[k].withColumnRenamed("id", near), near, "left_semi").join(seen[k].withColumnRenamed("id", far), far, "left_anti")
+        crossed[k].append(stored(met.select("at", "other", "edge_id")))
+        ends[k] = stored(crossed[k][-1].select(F.col(far).alias("id")).distinct())
+        sizes[k], seen[k] = ends[k].count(), seen[k].union(ends[k])
+        if not sizes[k]:
+            return none
+    frontier = start
+    for n, edges in enumerate([*crossed[0], *reversed(crossed[1])], 1):
+        out = frontier.withColumnRenamed("id", "at").join(edges, "at")
+        if n == len(crossed[0]):  # here the layers have met: what lies on no shortest path goes
+            out = out.join(ends[1].withColumnRenamed("id", "other"), "other", "left_semi")
         best = out.groupBy("other").agg(F.min(F.struct(F.array_append("by", F.col("edge_id")).alias("by"), F.array_append("path", F.col("other")).alias("path"))).alias("x"))
-        frontier = checkpointed(best.select(F.col("other").alias("id"), "x.by", "x.path"))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier.select("id"))  # each level stands in a table of its own
-    return spark.createDataFrame([], "step int, id string")
+        frontier = stored(best.select(F.col("other").alias("id"), "x.by", "x.path"))
+    return frontier.where(F.col("id") == target).select(F.posexplode("path").alias("step", "id"))
 
 
 def path_edges(graph: PropertyGraph, path: DataFrame) -> DataFrame:
@@ -222,37 +236,54 @@ def overview(graph: PropertyGraph, seeds: DataFrame, most_nodes: int) -> Neighbo
     """The union of the seeds' (id, seed) neighbourhoods of depth 1 in seed order, cut at ``most_nodes`` nodes.
 
     A seed's items are its nodes by (type, name, id). An item is taken while fewer than ``most_nodes`` different
-    nodes were taken before it; edges are those of all seeds that begin before that point. Seeds are few; items are counted over ranks
-    of seeds first, so only the seed where the cut falls is ordered item by item.
+    nodes were taken before it; edges are those of all seeds that begin before that point. Seeds are taken in turn, one, then two, then
+    four, until the cut falls among them: those after it are never walked. Items are counted over ranks of seeds first, so only the
+    seed where the cut falls is ordered item by item.
     """
-    steps = graph.both_ways()
-    seeds = checkpointed(seeds.select("id", "seed"))
-    one = seeds.select(F.col("id").alias("at"), "seed").join(steps, "at").select("seed", F.col("other").alias("x")).union(seeds.select("seed", "id")).distinct()
-    # two levels are expanded (a seed and those at distance 1), three are seen
-    inner = checkpointed(one)
-    edge_items = checkpointed(inner.withColumnRenamed("x", "at").join(steps, "at").select("seed", "at", "other", "edge_id"))
-    seen = edge_items.select("seed", F.col("other").alias("id")).union(inner.select("seed", F.col("x").alias("id"))).distinct()
-    items = seen.join(graph.nodes.select("id", "type", "name"), "id")
-    fresh = checkpointed(items.groupBy("id", "type", "name").agg(F.min("seed").alias("seed")))
-    counts = fresh.groupBy("seed").agg(F.count("*").alias("n"))
-    upto = F.coalesce(F.sum("n").over(Window.orderBy("seed").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = checkpointed(seeds.select("seed").distinct().join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("before", upto))
-    ordered = fresh.join(starts.where(F.col("before") < most_nodes).select("seed", "before"), "seed")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("seed").orderBy("type", "name", "id"))
-    nodes = ordered.withColumn("place", place).where(F.col("place") <= most_nodes).select("id")
-    cut = starts.where(F.col("before") + F.col("n") >= most_nodes).orderBy("seed").first()
-    last, truncated = None, False
+    steps, columns = graph.both_ways(), "id string, type string, name string, seed int"
+    seeds = stored(seeds.select("id", "seed"))
+    fresh, walked, before, last, truncated = graph.nodes.sparkSession.createDataFrame([], columns), [], 0, None, False
+    done, at_once, cut = None, 1, None
+    while cut is None:
+        some = seeds if done is None else seeds.where(F.col("seed") > done)
+        some = stored(some.orderBy("seed").limit(at_once))
+        done = some.agg(F.max("seed")).first()[0]
+        if done is None:
+            break
+        some = seeds.where(F.col("seed") == done).union(some).distinct()
+        at_once *= 2
+        # two levels are expanded (a seed and those at distance 1), three are seen
+        inner = stored(some.select(F.col("id").alias("at"), "seed").join(steps, "at").select("seed", F.col("other").alias("x")).union(some.select("seed", "id")).distinct())
+        walked.append(stored(inner.withColumnRenamed("x", "at").join(steps, "at").select("seed", "at", "other", "edge_id")))
+        seen = walked[-1].select("seed", F.col("other").alias("id")).union(inner.select("seed", F.col("x").alias("id"))).distinct()
+        items = seen.join(graph.nodes.select("id", "type", "name"), "id")
+        new = stored(items.join(fresh, "id", "left_anti").groupBy("id", "type", "name").agg(F.min("seed").alias("seed")))
+        counts = new.groupBy("seed").agg(F.count("*").alias("n"))
+        upto = F.lit(before) + F.coalesce(F.sum("n").over(Window.orderBy("seed").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = stored(some.select("seed").distinct().join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("before", upto))
+        cut = starts.where(F.col("before") + F.col("n") >= most_nodes).orderBy("seed").first()
+        if cut is None:
+            before, fresh = before + new.count(), fresh.unionByName(new)
     if cut is not None:  # the first item past the cap ends the walk: in this seed, or else it is the next seed's first
+        place = F.lit(cut["before"]) + F.row_number().over(Window.orderBy("type", "name", "id"))
+        inside = new.where(F.col("seed") == cut["seed"]).orderBy("type", "name", "id").limit(most_nodes - cut["before"]).withColumn("place", place)
         end = items.where(F.col("seed") == cut["seed"]).orderBy(F.desc("type"), F.desc("name"), F.desc("id")).select("id").first()
-        taken = ordered.withColumn("place", place).where(F.col("place") == most_nodes).select("id").first()
+        taken = inside.where(F.col("place") == most_nodes).select("id").first()
+        fresh = fresh.unionByName(new.where(F.col("seed") < cut["seed"])).select("id").union(inside.select("id"))
         if cut["before"] + cut["n"] == most_nodes and end == taken:
-            next_ = starts.where(F.col("seed") > cut["seed"]).orderBy("seed").first()
+            next_ = seeds.where(F.col("seed") > cut["seed"]).orderBy("seed").first()
             last, truncated = (next_["seed"] if next_ else cut["seed"]), next_ is not None
+            if next_ is not None and last > done:  # its edges count: it begins where the last place is taken
+                more = seeds.where(F.col("seed") == last)
+                inner = stored(more.select(F.col("id").alias("at"), "seed").join(steps, "at").select("seed", F.col("other").alias("x")).union(more.select("seed", "id")).distinct())
+                walked.append(stored(inner.withColumnRenamed("x", "at").join(steps, "at").select("seed", "at", "other", "edge_id")))
         else:
             last, truncated = cut["seed"], True
-    used = edge_items if last is None else edge_items.where(F.col("seed") <= last)
-    used = used.select(F.col("edge_id").alias("id")).distinct()
-    return Neighbourhood(graph.nodes.join(nodes, "id", "left_semi"), graph.edges.join(used, "id", "left_semi"), truncated)
+    every = reduce(DataFrame.union, walked) if walked else None
+    if every is None:
+        return Neighbourhood(graph.nodes.limit(0), graph.edges.limit(0), False)
+    used = (every if last is None else every.where(F.col("seed") <= last)).select(F.col("edge_id").alias("id")).distinct()
+    return Neighbourhood(graph.nodes.join(fresh.select("id"), "id", "left_semi"), graph.edges.join(used, "id", "left_semi"), truncated)
 
 
 def overview_seeds(graph: PropertyGraph, routes: int = 20, files: int = 30) -> DataFrame:

@@ -163,7 +163,7 @@ def merge_partial_graph(d: Data) -> DataFrame:
 
 @query("edges_referential", f"SELECT {EDGE} FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes)")
 def edges_referential(d: Data) -> DataFrame:
-    return d.graph.referential()
+    return d.walked.referential()
 
 
 @query("build_nodes", "SELECT type || '_' || substr(sha1(type || '::' || file_path || '::' || name), 1, 16) AS node_id, type, name FROM nodes WHERE type IN ('project', 'module', 'file')")
