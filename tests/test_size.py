@@ -118,3 +118,21 @@ def test_edges_without_nodes_and_twice(spark):
     assert sorted(r["id"] for r in g.referential().collect()) == ["CALLS:a:b", "CALLS:b:b"]
     assert {r["id"]: r["importance"] for r in g.importance().collect()} == {"a": 1.0, "b": 1.0}
     assert export.core_modules(g).count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_indexing_broadcasts_no_relation_of_the_files(spark):
+    found = __spark_entry__.queries()["index_files"](spark, FOLDER)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") > 20 and plan.count("BroadcastHashJoin") == 0
+
+
+def test_sources_of_one_small_file_are_parsed_by_many_tasks(spark, monkeypatch):
+    from tracelode.operators import index as indexer
+
+    held = []
+    monkeypatch.setattr(indexer, "checkpointed", lambda df: held.append(df) or components.checkpointed(df))
+    files = spark.createDataFrame([(f"/repo/f{i}.ts", "export const a = 1;\n") for i in range(200)], "path string, content string").coalesce(1)
+    indexer.index(files, "demo", "/repo")
+    assert held[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
