@@ -136,3 +136,26 @@ def test_sources_of_one_small_file_are_parsed_by_many_tasks(spark, monkeypatch):
     files = spark.createDataFrame([(f"/repo/f{i}.ts", "export const a = 1;\n") for i in range(200)], "path string, content string").coalesce(1)
     indexer.index(files, "demo", "/repo")
     assert held[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_rounds_by_country_are_the_same_graph(spark):
+    from pyspark.sql import functions as F
+
+    from tracelode.operators import analytics
+    from tracelode.plans import walks
+    from tracelode.plans.registry import Data
+    from tracelode.sources.tables import on_spark
+
+    d = Data(spark, FOLDER)
+    edges = components.stored(on_spark(spark, FOLDER, walks.ROUNDS))
+    nodes = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    mine, by_country, passed = walks._rounds(d)
+    assert {r["id"] for r in mine.collect()} == {r["id"] for r in nodes.collect()} and passed.count() > 0
+    tables = d.table("lineitem").where("l_returnflag = 'R' AND l_quantity > 40").count() + d.table("supplier").count() + d.table("customer").count()
+    assert by_country.count() <= tables
+    want = {r["id"]: r["betweenness"] for r in analytics.betweenness(nodes, edges).collect()}
+    found = {r["id"]: r["betweenness"] for r in analytics.betweenness(mine, by_country, passed=passed).collect()}
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-9 for i in want) and max(want.values()) > 0
+    sizes = analytics.strong_components(nodes, edges).groupBy("component").count().groupBy("count").agg(F.count("*")).collect()
+    assert {tuple(r) for r in sizes} == {tuple(r) for r in __spark_entry__.queries()["scc_sizes"](spark, FOLDER).collect()}
